@@ -65,8 +65,7 @@ def release(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate for df, from file sizes; no job runs."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) if stats.sizeInBytes().bitLength() < 62 else 1 << 62
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pieces_for(df: DataFrame, mb_each: float, least: int = 1) -> int:

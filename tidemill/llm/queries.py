@@ -15,8 +15,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_bpe(), limit=2048)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.bpe import multilingual, round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), *multilingual())
+
+
+def op9_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.sstable import byte_bpe, written_and_read
+
+    return written_and_read(table(spark, sf_dir, "documents"), byte_bpe(), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts}
+    return {f.__name__: f for f in (op2_token_counts, op4_byte_bpe, op9_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
