@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm.common import table
 
@@ -21,6 +22,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), *multilingual())
 
 
+def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op9_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.sstable import byte_bpe, written_and_read
 
@@ -28,8 +41,10 @@ def op9_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_byte_bpe, op9_sstable_shards)}
+    return {f.__name__: f for f in (op2_token_counts, op4_byte_bpe, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemill.llm import mixing, topk
+
+    return {"op7_bit_sliced_top_k": topk.ORACLE, "op8_source_mix": mixing.ORACLE}
