@@ -22,6 +22,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), *multilingual())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.topk import top_k
 
@@ -41,7 +47,7 @@ def op9_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_byte_bpe, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards)}
+    return {f.__name__: f for f in (op2_token_counts, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
