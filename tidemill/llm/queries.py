@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.suffix_dedup import removed_repeats
+
+    return removed_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.token_counts import token_counts, word_bpe
 
@@ -47,7 +53,7 @@ def op9_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
