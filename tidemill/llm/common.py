@@ -83,8 +83,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about SLICE_BYTES of text; a longer text is alone in its batch."""
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text; a longer text is alone in its batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,7 +92,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         lo = 0
         while lo < batch.num_rows:
             base = size[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, base + SLICE_BYTES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(size, base + most, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
 

@@ -52,8 +52,14 @@ def op9_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_and_read(table(spark, sf_dir, "documents"), byte_bpe(), end_id=2)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
