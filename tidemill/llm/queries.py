@@ -22,6 +22,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_bpe(), limit=2048)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.bpe import multilingual, round_trip
 
@@ -59,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_quality_rules, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
