@@ -23,8 +23,8 @@ NEAR_CHAR, NEAR_WORD = 0.125, 0.20
 GUARD = 60
 #: A reference of fewer documents than this is no reference.
 LEAST_DOCUMENTS = 20
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+#: Character classes, taken out of the text one after the other: what is left becomes shorter each time.
+CLASSES = {"c_lower": "[a-z]+", "c_space": r"[\x20\x09-\x0D]+", "c_upper": "[A-Z]+", "c_stop": r"[-.,;:!?'\"()]+", "c_symbol": "[#*$%&|<>]+", "c_digit": "[0-9]+"}
 #: Frequent function words of each language.
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "on", "with", "are"],
@@ -34,24 +34,24 @@ COMMON = {
     "": ["the", "of", "and", "de", "la", "le", "der", "die", "und", "que", "el", "en"],
 }
 LETTERS = "abcdefghijkl"
-CHAR_BINS = ["c_lower", "c_upper", "c_digit", "c_space", "c_stop", "c_symbol", "c_other"]
+CHAR_BINS = [*CLASSES, "c_other"]
 WORD_BINS = [f"w_{x}" for x in LETTERS] + ["w_none"]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
-
-
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
+def _cased(common: list[str]) -> list[str]:
+    return [*common, *(w[:1].upper() + w[1:] for w in common)]
+
+
 def _listed(words: Column, common: list[str]) -> Column:
-    return F.filter(F.transform(words, lambda x: F.lower(x)), lambda x: x.isin(common))
+    return F.filter(words, lambda x: x.isin(_cased(common)))
 
 
 def _letters(listed: Column, common: list[str]) -> Column:
-    letters, places = F.array(*map(F.lit, LETTERS)), F.array(*map(F.lit, common))
+    letters, places = F.array(*map(F.lit, LETTERS + LETTERS)), F.array(*map(F.lit, _cased(common)))
     return F.array_join(F.transform(listed, lambda x: F.element_at(letters, F.array_position(places, x).cast("int"))), "")
 
 
@@ -70,16 +70,14 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
         "lang",
         n.cast("long").alias("n_words"),
         F.length("text").alias("c_all"),
-        _without(text, SPACES).cast("long").alias("word_chars"),
-        (F.length("text") - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        F.col("text").alias("rest"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        (F.length("text") - _without(text, "abcdefghijklmnopqrstuvwxyz")).alias("c_lower"),
-        (F.length("text") - _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("c_upper"),
-        (F.length("text") - _without(text, "0123456789")).alias("c_digit"),
-        (F.length("text") - _without(text, ".,;:!?'\"()-")).alias("c_stop"),
         F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
         common.alias("common"),
     )
+    for name, pattern in CLASSES.items():
+        d = d.withColumn("less", F.regexp_replace("rest", pattern, "")).withColumn(name, F.length("rest") - F.length("less")).drop("rest").withColumnRenamed("less", "rest")
+    d = d.withColumn("c_other", F.length("rest")).drop("rest").withColumn("word_chars", (F.col("c_all") - F.col("c_space")).cast("long")).withColumn("n_symbols", F.col("c_symbol").cast("long"))
     # windows that are found again, in order; only rows that have some are sorted
     ranked = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("ranked", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), ranked).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("hashes")
@@ -93,10 +91,8 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     letters = reduce(lambda rest, lang: F.when(F.col("lang") == lang, coded[lang]).otherwise(rest), [x for x in COMMON if x], coded[""])
     d = d.withColumn("letters", letters).drop("common")
     for x in LETTERS:
-        d = d.withColumn(f"w_{x}", F.length("letters") - _without(F.col("letters"), x))
+        d = d.withColumn(f"w_{x}", F.length("letters") - F.length(F.replace(F.col("letters"), F.lit(x), F.lit(""))))
     d = d.withColumn("w_none", F.col("n_words") - F.length("letters"))
-    d = d.withColumn("c_space", F.col("c_all") - F.col("word_chars")).withColumn("c_symbol", F.col("n_symbols"))
-    d = d.withColumn("c_other", F.col("c_all") - reduce(lambda a, b: a + b, [F.col(c) for c in CHAR_BINS[:-1]]))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *CHAR_BINS, *WORD_BINS)
 
