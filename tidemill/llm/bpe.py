@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemill.llm.common import ragged, sliced, text_buffer
+from tidemill.llm.common import Memo, ragged, sliced, text_buffer
 from tidemill.llm.pieces import encoded
 
 #: Pieces up to this many bytes are merged directly: the leaves of the tree.
@@ -44,7 +44,7 @@ class TreeBPE:
         self.length = np.fromiter((len(t) for t in self.tokens), np.int64, size)
         self.first = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(MEMO_WORDS)
         self.stays: dict[tuple[int, int], bool] = {}
 
     # encoding
@@ -132,19 +132,16 @@ class TreeBPE:
         return [whole] if whole is not None else self.tree(piece)
 
     def words(self, words: list[bytes]) -> list[bytes]:
-        memo, out = self.memo, []
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in words:
-            ids = memo.get(w)
+        memo = self.memo
+        young, old = memo.young.get, memo.old.get
+        out = [young(w) or old(w) for w in words]
+        for i, ids in enumerate(out):
             if ids is None:
                 found: list[int] = []
-                for p in self.pattern.findall(w.decode("utf-8", "replace")):
+                for p in self.pattern.findall(words[i].decode("utf-8", "replace")):
                     found += self.piece(p.encode())
-                ids = np.array(found, np.uint32).tobytes()
-                if len(w) < 200:
-                    memo[w] = ids
-            out.append(ids)
+                out[i] = np.array(found, np.uint32).tobytes()
+        memo.keep(words, out)
         return out
 
     # decoding

@@ -134,3 +134,15 @@ def sums_between(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
+
+
+class Memo:
+    """A dictionary of bounded size: entries that were asked for lately, and those before them."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def keep(self, keys: list[bytes], values: list[bytes], longest: int = 200) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young.update((k, v) for k, v in zip(keys, values, strict=True) if len(k) < longest)

@@ -1,8 +1,8 @@
 """Ids of byte-level vocabularies for whole slices of texts at once.
 
-A text is cut before single spaces between two solid characters. The splitting
-pattern always begins a new match there, so that the words between cuts can be
-encoded one by one and remembered.
+A text is cut before single spaces, and before and after single line ends, between two
+solid characters. The splitting pattern always begins a new match there, so that
+the words between cuts can be encoded one by one and remembered.
 """
 
 from __future__ import annotations
@@ -24,14 +24,18 @@ SOLID[0x80:] = True
 
 
 def cuts(data: np.ndarray, at: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """Where words begin: at every text and before every safe single space. odd: texts that stay whole."""
+    """Where words begin: at every text and at every safe cut. odd: texts that stay whole."""
     solid = SOLID[data]
     safe = np.zeros(len(data), dtype=bool)
     if len(data) > 2:
-        safe[1:-1] = (data[1:-1] == 0x20) & solid[:-2] & solid[2:]
+        between = solid[:-2] & solid[2:]
+        safe[1:-1] = (data[1:-1] == 0x20) & between
+        line = np.flatnonzero((data[1:-1] == 0x0A) & between) + 1
+        safe[line] = safe[line + 1] = True
     inner = at[(at > 0) & (at < len(data))]
-    safe[inner - 1] = False  # the space would end its text
-    safe[inner] = False
+    safe[inner - 1] = False  # white space that ends a text
+    safe[inner] = False  # or begins one
+    safe[inner[inner + 1 < len(data)] + 1] &= data[inner[inner + 1 < len(data)]] != 0x0A
     for i in np.flatnonzero(odd):
         safe[at[i] : at[i + 1]] = False
     safe[at[:-1][np.diff(at) > 0]] = True

@@ -34,6 +34,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), *multilingual())
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.kneser_ney import classified
+
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.simhash import near_duplicates
 
@@ -65,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_quality_rules, op4_byte_bpe, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards, op10_toxicity)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_token_counts, op3_quality_rules, op4_byte_bpe, op5_kneser_ney, op6_simhash, op7_bit_sliced_top_k, op8_source_mix, op9_sstable_shards, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

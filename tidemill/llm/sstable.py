@@ -15,6 +15,7 @@ the row's ids as little-endian unsigned integers of 2 or 4 bytes.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm.common import pieces_for, release, sliced, text_buffer, work_dir, written
+from tidemill.llm.common import Memo, pieces_for, release, sliced, text_buffer, work_dir, written
 from tidemill.llm.pieces import encoded
 
 MAGIC = b"TMSST\x00\x00\x01"
@@ -42,7 +43,10 @@ BITS_PER_KEY, PROBES = 10, 7
 PLAIN, ZSTD = 0, 1
 #: What one shard holds of a large input, in MB of the input's estimated size; a small input makes a shard for each shuffle partition.
 SHARD_MB = 64
-MEMO_WORDS = 300_000
+#: Words that a worker remembers (twice as many at most); they only save time.
+MEMO_WORDS = 400_000
+#: Bytes that can be white space, alone or in a longer character.
+ODD = re.compile(rb"[\x00-\x20\x7f]|\xc2[\x85\xa0]|\xe1[\x9a\xa0]|\xe2[\x80\x81]|\xe3\x80\x80|\xef\xbb\xbf")
 
 
 # the file format
@@ -239,21 +243,39 @@ class LibraryCoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(MEMO_WORDS)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if len(self.line) != 1:
+            raise ValueError("the vocabulary has no token for a line's end")
+
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words in which white space is at most one leading space: one text of lines, split at its line ends.
+
+        A line's end is a match of its own before a solid character and before a single space, and no word holds its token.
+        """
+        ids = np.array(self.tokenizer.encode("\n".join([w.decode("utf-8", "replace") for w in words]), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(ids == self.line[0])
+        if len(ends) != len(words) - 1:
+            raise ValueError("lines and words differ")
+        raw, at = ids.tobytes(), np.concatenate([[0], ends * 4 + 4]).tolist()
+        return [raw[a:b] for a, b in zip(at, [*(ends * 4).tolist(), len(raw)], strict=True)]
 
     def words(self, words: list[bytes]) -> list[bytes]:
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            memo.update(zip(part, (np.array(x.ids, np.uint32).tobytes() for x in made), strict=True))
-        out = [memo[w] for w in words]
-        for w in new:
-            if len(w) >= 200:
-                del memo[w]
+        young, old, lines, others = memo.young.get, memo.old.get, [], []
+        out = [young(w) or old(w) for w in words]
+        for i, ids in enumerate(out):
+            if ids is None:
+                w = words[i]
+                body = w[1:] if w[:1] == b" " else w
+                (others if not body or ODD.search(body) else lines).append(i)
+        for lo in range(0, len(lines), 4096):
+            part = lines[lo : lo + 4096]
+            for i, ids in zip(part, self.together([words[i] for i in part]), strict=True):
+                out[i] = ids
+        for i in others:
+            out[i] = np.array(self.tokenizer.encode(words[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32).tobytes()
+        memo.keep(words, out)
         return out
 
     def texts(self, column: pa.Array) -> list[np.ndarray]:
