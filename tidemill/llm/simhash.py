@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemill.llm.common import IS_SPACE, ragged, release, sliced, spans_of_words, text_buffer, work_dir, written
 from tidemill.llm.components import components
@@ -74,16 +75,20 @@ def majority(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarra
     return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit integer) of each row; no words (or a null text): 0."""
+def with_fingerprints(rows: DataFrame, text_col: str, into: str, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in `keep`, and each row's fingerprint as a signed 64-bit integer; no words (or a null text): 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            fp = fingerprint_slice(*text_buffer(batch.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        for batch in sliced(batches, text_col):
+            fp = fingerprint_slice(*text_buffer(batch.column(text_col)), shingle)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], names=[*keep, into])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in keep), StructField(into, LongType())]))
 
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp of each row."""
+    return with_fingerprints(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "text", "fp", shingle, ("doc_id",))
 
 
 # the index
@@ -208,6 +213,17 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return made[0].union(made[1]).distinct()
 
 
+def classes(rows: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """own (each distinct fingerprint of rows), root and component_id (the smallest doc_id of its component)."""
+    spark = rows.sparkSession
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), work_dir(spark, "fingerprints-distinct"))
+    roots = components(links(distinct, most))
+    release(spark)
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(named.select("fp", "root").join(least, "root").select(F.col("fp").alias("own"), "root", "component_id"), work_dir(spark, "fingerprint-classes"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links) for each row.
 
@@ -216,15 +232,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     Equal rows give equal rows; an empty table gives none. Copies meet in one distinct fingerprint
     before any search. Memory: a slice of texts, or one group of at most 2^16 fingerprints.
     """
-    spark = docs.sparkSession
-    rows = written(fingerprints(docs, shingle, id_col, text_col), work_dir(spark, "fingerprints"))
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), work_dir(spark, "fingerprints-distinct"))
-    roots = components(links(distinct, most))
-    release(spark)
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(named.select("fp", "root").join(classes, "root").select(F.col("fp").alias("own"), "component_id"), work_dir(spark, "fingerprint-classes"))
-    return rows.join(of_fp, F.col("fp") == F.col("own")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = written(fingerprints(docs, shingle, id_col, text_col), work_dir(docs.sparkSession, "fingerprints"))
+    return rows.join(classes(rows, most), F.col("fp") == F.col("own")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """The rows of docs (columns doc_id, text and any others) of which each is its component's smallest doc_id; one, where rows repeat."""
+    rows = written(fingerprints(docs, shingle), work_dir(docs.sparkSession, "fingerprints"))
+    marked = with_fingerprints(docs, "text", "_fp", shingle, tuple(docs.columns))
+    first = marked.join(classes(rows, most), F.col("_fp") == F.col("own")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first.dropDuplicates(["root"]).select(*docs.columns)
 
 
-__all__ = ["components", "fingerprints", "gray_rank", "linked", "links", "near_duplicates"]
+__all__ = ["classes", "fingerprints", "gray_rank", "linked", "links", "near_duplicates", "one_of_each"]
