@@ -1,8 +1,8 @@
 """Ids of byte-level vocabularies for whole slices of texts at once.
 
 A text is cut before single spaces, and before and after single line ends, between two
-solid characters. The splitting pattern always begins a new match there, so that
-the words between cuts can be encoded one by one and remembered.
+solid characters, and between a letter and a mark. The splitting pattern always begins
+a new match there, so that the words between cuts can be encoded one by one and remembered.
 """
 
 from __future__ import annotations
@@ -21,6 +21,13 @@ ODD_SPACE = regex.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *r
 SOLID = np.zeros(256, dtype=bool)
 SOLID[0x21:0x7F] = True
 SOLID[0x80:] = True
+LETTER = np.zeros(256, dtype=bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+MARK = SOLID & ~LETTER
+MARK[0x30:0x3A] = MARK[0x80:] = False
+#: First bytes of the longer characters in ODD_SPACE.
+LEAD = np.zeros(256, dtype=bool)
+LEAD[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 def cuts(data: np.ndarray, at: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -32,10 +39,12 @@ def cuts(data: np.ndarray, at: np.ndarray, odd: np.ndarray) -> np.ndarray:
         safe[1:-1] = (data[1:-1] == 0x20) & between
         line = np.flatnonzero((data[1:-1] == 0x0A) & between) + 1
         safe[line] = safe[line + 1] = True
+        safe[1:] |= MARK[data[1:]] & LETTER[data[:-1]]
     inner = at[(at > 0) & (at < len(data))]
     safe[inner - 1] = False  # white space that ends a text
     safe[inner] = False  # or begins one
-    safe[inner[inner + 1 < len(data)] + 1] &= data[inner[inner + 1 < len(data)]] != 0x0A
+    inner = inner[inner + 1 < len(data)]
+    safe[inner + 1] &= data[inner] != 0x0A
     for i in np.flatnonzero(odd):
         safe[at[i] : at[i + 1]] = False
     safe[at[:-1][np.diff(at) > 0]] = True
@@ -49,7 +58,7 @@ def encoded(data: np.ndarray, at: np.ndarray, ids_of: Callable[[list[bytes]], li
     """
     odd = np.zeros(len(at) - 1, dtype=bool)
     whole = data.tobytes()
-    if ODD_SPACE.search(whole.decode("utf-8", "replace")):
+    if LEAD[data].any():
         odd[:] = [bool(ODD_SPACE.search(whole[a:b].decode("utf-8", "replace"))) for a, b in zip(at[:-1], at[1:], strict=True)]
     begin = cuts(data, at, odd)
     offsets = np.append(begin, len(data)).astype(np.int64)

@@ -253,7 +253,7 @@ class LibraryCoder:
 
         A line's end is a match of its own before a solid character and before a single space, and no word holds its token.
         """
-        ids = np.array(self.tokenizer.encode("\n".join([w.decode("utf-8", "replace") for w in words]), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(words).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(ids == self.line[0])
         if len(ends) != len(words) - 1:
             raise ValueError("lines and words differ")
