@@ -147,12 +147,12 @@ def contamination_shingle(spark, d):
 
 
 @query("opening_text_blocked", """
-WITH f AS (SELECT conv_id, conv_id % 5 = 0 AS is_test, arg_min(lower(trim(text)), turn) AS opening FROM conversations WHERE role = 'user' GROUP BY conv_id)
+WITH f AS (SELECT conv_id, substr(md5(conv_id::VARCHAR), 1, 1) IN ('0', '1', '2') AS is_test, arg_min(lower(trim(text)), turn) AS opening FROM conversations WHERE role = 'user' GROUP BY conv_id)
 SELECT conv_id FROM f WHERE NOT is_test AND opening NOT IN (SELECT opening FROM f WHERE is_test)""")
 def opening_text_blocked(spark, d):
     first = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by(F.lower(F.trim("text")), "turn").alias("opening"))
-    test = first.where("conv_id % 5 = 0").select("opening")
-    return first.where("conv_id % 5 <> 0").join(test, "opening", "left_anti").select("conv_id")
+    is_test = F.substring(F.md5(F.col("conv_id").cast("string")), 1, 1).isin("0", "1", "2")
+    return first.where(~is_test).join(first.where(is_test).select("opening"), "opening", "left_anti").select("conv_id")
 
 
 @query("resume_left", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

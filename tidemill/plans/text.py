@@ -80,7 +80,7 @@ def role_markers_escaped(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.escaped_roles(F.concat(F.lit("<|"), "role", F.lit("|>"), "text")).alias("text"))
 
 
-MARKED_TEXT = "substr(text, 1, 20) || ' [S' || (doc_id % 4) || '] and [s' || (doc_id % 7) || '] or [S1].'"
+MARKED_TEXT = "text || ' [S' || (doc_id % 4) || '] and [s' || (doc_id % 7) || '] or [S1].'"
 
 
 @query("citation_marks", f"""
@@ -90,15 +90,15 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(all_marks)), ',') AS mark
   list_reduce(list_concat([x], list_filter(['S0', 'S4', 'S5', 'S6'], lambda v: list_contains(all_marks, v))), lambda s, v: regexp_replace(s, '(?i)\\[' || v || '\\]', '', 'g')) AS text
 FROM c""")
 def citation_marks(spark, d):
-    x = F.concat(F.substring("text", 1, 20), F.lit(" [S"), (F.col("doc_id") % 4).cast("string"), F.lit("] and [s"), (F.col("doc_id") % 7).cast("string"), F.lit("] or [S1]."))
+    x = F.concat("text", F.lit(" [S"), (F.col("doc_id") % 4).cast("string"), F.lit("] and [s"), (F.col("doc_id") % 7).cast("string"), F.lit("] or [S1]."))
     valid = F.array(*map(F.lit, ("S1", "S2", "S3")))
     marks = T.cited(F.col("x"))
     return table(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", F.array_join(F.array_sort(marks), ",").alias("marks"), F.size(F.array_except(marks, valid)).alias("n_unknown"), T.known_citations(F.col("x"), valid).alias("text"))
 
 
-@query("citation_ensured", "SELECT doc_id, CASE WHEN regexp_matches(t, '\\[[Ss][0-9]+\\]') THEN t ELSE t || ' [S1]' END AS text FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 30) || ' [S2]' ELSE substr(text, 1, 30) END AS t FROM documents)")
+@query("citation_ensured", "SELECT doc_id, CASE WHEN regexp_matches(t, '\\[[Ss][0-9]+\\]') THEN t ELSE t || ' [S1]' END AS text FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || ' [S2]' ELSE text END AS t FROM documents)")
 def citation_ensured(spark, d):
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 30), F.lit(" [S2]"))).otherwise(F.substring("text", 1, 30))
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" [S2]"))).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.when(F.size(T.cited(F.col("t"))) > 0, F.col("t")).otherwise(F.concat("t", F.lit(" [S1]"))).alias("text"))
 
 
