@@ -8,13 +8,16 @@ documents asks once for each distinct n-gram, and gets a value for each back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemill.llm.common import pieces_for, release, text_buffer, work_dir, written
+from tidemill.llm.common import pieces_for, release, sliced, text_buffer, work_dir, written
 from tidemill.llm.suffix_dedup import ascending, dealt, mix, values_of
 
 ORDER = 5
@@ -27,6 +30,8 @@ QUANTILE = 0.99
 LEAST_HELD_OUT = 10
 #: Natural-log probabilities travel as negative multiples of this.
 STEP = 1 / 1024
+#: How hard texts are compressed before they are shuffled.
+LEVEL = 5
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
 FOLD[0x30:0x3A] = 0x30
@@ -68,6 +73,29 @@ def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one group as one compressed blob for each slice of texts: texts are most of what a shuffle holds."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))
+    for batch in sliced(batches):
+        group = np.asarray(batch.column("_group"), np.int64)
+        order = np.argsort(group, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+        numbers, blobs = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = batch.take(pa.array(order[a:b]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as w:
+                w.write_batch(part)
+            numbers.append(int(group[order[a]]))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["_group", "rows"])
+
+
+def unpacked(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    parts = [pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()]
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
 # the model: tables (key, c) of distinct n-grams of one order; the key of an n-gram has its language above bit 40
 
 LANGUAGE = ((1 << 23) - 1) << 40
@@ -128,13 +156,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     held = (F.pmod(F.xxhash64(F.lit(22), F.col("doc_id")), F.lit(HELD_OUT)) == 0).alias("held_out")
     code = F.coalesce(F.xxhash64(F.col("lang")).bitwiseAND((1 << 23) - 1), F.lit(0)).alias("code")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).select("doc_id", "text", "lang", code, held, group)
+    shape = to_arrow_schema(rows.schema)
+    packs = rows.mapInArrow(packed, "_group int, rows binary")
     known = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().select(F.col("doc_id").alias("known"), group)
 
     def of(texts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         data, at = text_buffer(texts.column("text").combine_chunks() if texts.num_rows else pa.array([], pa.string()))
         return keys_of(data, at, np.asarray(texts.column("code").combine_chunks() if texts.num_rows else pa.array([], pa.int64()), np.int64))
 
-    def counted(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def counted(packs: pa.Table, known: pa.Table) -> pa.Table:
+        texts = unpacked(packs, shape)
         keys, first = of(texts)
         trained = pc.and_(pc.is_in(texts.column("doc_id"), known.column("known").combine_chunks() if known.num_rows else pa.array([], known.schema.field("known").type)), pc.invert(texts.column("held_out")))
         asked, _, place = distinct(keys)
@@ -148,7 +179,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
             out.append((s, number, ascending(asked[at]), count[at].astype("<u4").tobytes()))
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "_group", "keys", "counts"])
 
-    asked = rows.groupBy("_group").cogroup(known.groupBy("_group")).applyInArrow(counted, "shard int, _group int, keys binary, counts binary")
+    asked = packs.groupBy("_group").cogroup(known.groupBy("_group")).applyInArrow(counted, "shard int, _group int, keys binary, counts binary")
     asked = written(asked, f"{base}/asked")
     release(spark)
 
@@ -172,7 +203,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     costs = written(asked.select("shard", "_group", "keys").groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(answered, "_group int, shard int, costs binary"), f"{base}/costs")
     release(spark)
 
-    def scored(texts: pa.Table, costs: pa.Table) -> pa.Table:
+    def scored(packs: pa.Table, costs: pa.Table) -> pa.Table:
+        texts = unpacked(packs, shape)
         keys, first = of(texts)
         asked, _, place = distinct(keys)
         order, edges = by_shard(asked, shards)
@@ -186,7 +218,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         return pa.table([texts.column("doc_id"), texts.column("lang"), texts.column("held_out"), pa.array(n), pa.array(value, mask=n == 0)], names=["doc_id", "lang", "held_out", "n_grams", "perplexity"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    value = rows.groupBy("_group").cogroup(costs.groupBy("_group")).applyInArrow(scored, f"doc_id {kind}, lang string, held_out boolean, n_grams long, perplexity double")
+    value = packs.groupBy("_group").cogroup(costs.groupBy("_group")).applyInArrow(scored, f"doc_id {kind}, lang string, held_out boolean, n_grams long, perplexity double")
     value = written(value, f"{base}/values")
     return value.join(known.select("known"), F.col("doc_id") == F.col("known"), "left").select("doc_id", "lang", F.col("known").isNotNull().alias("trusted"), "held_out", "n_grams", "perplexity")
 
