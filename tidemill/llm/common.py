@@ -64,8 +64,10 @@ def release(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate for df, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of what df reads, from file sizes; no job runs. Inputs of unknown size (rows of the driver) count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def pieces_for(df: DataFrame, mb_each: float, least: int = 1) -> int:

@@ -116,7 +116,7 @@ def _order(grams: DataFrame, base: str, k: int) -> tuple[DataFrame, DataFrame]:
     c, lang = F.col("c"), F.shiftright("key", 40).alias("lang")
     seen = [F.sum(F.when(c == i, 1).otherwise(0)).alias(f"n{i}") for i in range(1, 5)]
     n = grams.groupBy(lang).agg(*seen)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.coalesce(F.try_divide("n1", F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
     usual = {1: 0.5, 2: 1.0, 3: 1.5}
     discounts = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(usual[i]).alias(f"d{i}") for i in (1, 2, 3)]
     own = grams.select("key", "c", lang, _context().alias("context")).join(n.select("lang", *discounts), "lang")

@@ -208,7 +208,7 @@ def repeats(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray, np.ndarra
     digests = rows.where(F.octet_length("_text") >= length).select("_group", "_own", F.unhex(F.sha2("_text", 256)).alias("digest"))
     digests = written(digests, f"{base}/digests")
     twice = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("_own").alias("least")).where("n > 1").withColumnRenamed("digest", "d")
-    copies = digests.join(twice, F.col("digest") == F.col("d")).select("_group", "_own", (F.col("_own") == F.col("least")).alias("stands"))
+    copies = digests.join(twice, F.col("digest") == F.col("d")).select("_group", "_own", "digest", (F.col("_own") == F.col("least")).alias("stands"))
 
     # 1 and 2: names of sampled suffixes, sorted by ranges
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +278,10 @@ def repeats(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray, np.ndarra
 
     def gather(texts: pa.Table, notes: pa.Table) -> pa.Table:
         places: dict[int, list] = {}
-        copied: dict[int, bool] = {}
-        for own, stands, owns, counts, at in zip(*(notes.column(c).to_pylist() for c in ("_own", "stands", "owns", "counts", "places")), strict=True):
+        copied: dict[tuple[int, bytes], bool] = {}
+        for own, same, stands, owns, counts, at in zip(*(notes.column(c).to_pylist() for c in ("_own", "digest", "stands", "owns", "counts", "places")), strict=True):
             if owns is None:
-                copied[own] = copied.get(own, False) or stands
+                copied[own, same] = copied.get((own, same), False) or stands
                 continue
             cut = np.cumsum(np.frombuffer(counts, "<i8"))[:-1]
             for o, p in zip(np.frombuffer(owns, "<i8").tolist(), np.split(np.frombuffer(at, "<i8"), cut), strict=True):
@@ -289,22 +289,23 @@ def repeats(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray, np.ndarra
         column = texts.column("_text").combine_chunks() if texts.num_rows else pa.array([], pa.string())
         data, at = text_buffer(column)
         done, ends, picked, spans, whole, stood = [], [], [], [], [], set()
+        with_copies = {own for own, _ in copied}
         for k, own in enumerate(texts.column("_own").to_pylist()):
             text, span = data[at[k] : at[k + 1]], None
-            alike = own in copied and len(text) >= length
-            if own in places and len(text) >= length and not (alike and (not copied[own] or own in stood)):
+            name = (own, hashlib.sha256(text).digest()) if own in with_copies else None
+            alike = name in copied
+            if own in places and len(text) >= length and not (alike and (not copied[name] or name in stood)):
                 p = np.unique(np.concatenate(places[own]))
                 lo, hi = np.maximum(p - v + 1, 0), np.minimum(p + 1, len(text) - length + 1)
                 lo, hi = lo[lo < hi], hi[lo < hi]
                 if len(lo):
                     new = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
                     span = np.stack([lo[new], np.append(hi[new[1:] - 1], hi[-1])], axis=1)
-            if alike:
-                stood.add(own)
             if span is None:
                 done.append(k)
                 ends.append(finish(text, np.zeros(1, np.int64), np.array([len(text)])) if alike else finish(text, NONE, NONE))
             else:
+                stood.add(name)
                 picked.append(k)
                 whole.append(alike)
                 spans.append(span.astype("<i8").tobytes())
@@ -325,7 +326,7 @@ def repeats(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray, np.ndarra
             out = pa.concat_tables([out, one])
         return out
 
-    alike = copies.select("_group", "_own", "stands", *(F.lit(None).cast("binary").alias(c) for c in ("owns", "counts", "places")))
+    alike = copies.select("_group", "_own", "digest", "stands", *(F.lit(None).cast("binary").alias(c) for c in ("owns", "counts", "places")))
     notes = alike.unionByName(left, allowMissingColumns=True)
     with_pack = StructType([*result.fields]).add("_group", "integer").add("_pack", "binary")
     gathered = written(rows.groupBy("_group").cogroup(notes.groupBy("_group")).applyInArrow(gather, with_pack), f"{base}/texts")
