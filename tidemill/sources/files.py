@@ -167,7 +167,7 @@ def folder(spark: SparkSession, path: str) -> DataFrame:
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
     """of (path of the document) and its metadata fields, from <file>.metadata.json files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.metadata.json").load(path)
-    body = F.from_json(F.decode("content", F.lit("UTF-8")), ", ".join(f"{f} string" for f in FIELDS) + ", page int")
+    body = F.from_json(F.decode("content", "UTF-8"), ", ".join(f"{f} string" for f in FIELDS) + ", page int")
     return files.select(F.regexp_replace("path", r"\.metadata\.json$", "").alias("of"), body.alias("m")).select("of", "m.*")
 
 
@@ -176,7 +176,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     files = folder(spark, path)
     if files.where("suffix = 'pdf'").limit(1).count():
         raise NotImplementedError("PDF files need a PDF reader, which is not installed")
-    raw = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^﻿", "")
+    raw = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     plain = files.where(F.col("suffix").isin("txt", "md", "markdown")).select("path", "content", raw.alias("text"), F.lit(None).cast("string").alias("own_title"))
     page = files.where(F.col("suffix").isin("html", "htm")).select("path", "content", html_text(raw).alias("p")).select("path", "content", F.col("p.text").alias("text"), F.nullif("p.title", F.lit("")).alias("own_title"))
     record = "struct<text:string,content:string,title:string>"

@@ -45,8 +45,8 @@ def admitted(events: DataFrame, limit: int, window: float) -> DataFrame:
     return rows.repartition("user_id", "event_type").sortWithinPartitions("user_id", "event_type", "at", "event_id").mapInPandas(run, FIELDS)
 
 
-def admitted_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same over a stream; a key's state is its window, and goes when the window has passed without an event."""
+def admitted_stream(events: DataFrame, limit: int, window: float, late: str = "1 minute") -> DataFrame:
+    """The same over a stream; a key's state is its window, and goes when the watermark has passed the window's end."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,11 +56,12 @@ def admitted_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         rows["retry_after"] = [decide(hits, at, limit, window) for at in rows["at"]]
         state.update((list(hits),))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int((hits[-1] + window) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield rows[[x.split()[0] for x in FIELDS.split(", ")]]
 
-    rows = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("at"))
-    return rows.groupBy("user_id", "event_type").applyInPandasWithState(run, FIELDS, "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.select("event_id", "user_id", "event_type", "ts", F.col("ts").cast("double").alias("at"))
+    return rows.groupBy("user_id", "event_type").applyInPandasWithState(run, FIELDS, "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def unique_stream(events: DataFrame, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
