@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemill.llm.common import pieces_for, release, sliced, text_buffer, work_dir, written
+from tidemill.llm.common import pieces_for, release, removed, sliced, text_buffer, work_dir, written
 from tidemill.llm.suffix_dedup import ascending, dealt, mix, values_of
 
 ORDER = 5
@@ -197,11 +197,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     def answered(asked: pa.Table, p: pa.Table) -> pa.Table:
         keys, value = np.asarray(p.column("key").combine_chunks(), np.int64), np.asarray(p.column("p").combine_chunks(), np.float64)
         order = np.argsort(keys)
-        keys, cost = keys[order], np.minimum(np.round(-np.log(value[order]) / STEP), 65535).astype("<u2")
+        keys, cost = keys[order], np.minimum(np.round(-np.log(np.maximum(value[order], 1e-30)) / STEP), 65535).astype("<u2")
         found = [cost[np.searchsorted(keys, values_of(x).astype(np.int64))].tobytes() for x in asked.column("keys").to_pylist()]
         return pa.table([asked.column("_group"), asked.column("shard"), pa.array(found, pa.binary())], names=["_group", "shard", "costs"])
 
     costs = written(asked.select("shard", "_group", "keys").groupBy("shard").cogroup(p.groupBy("shard")).applyInArrow(answered, "_group int, shard int, costs binary"), f"{base}/costs")
+    for name in ("asked", "grams", "probabilities", *(f"order-{k}" for k in range(1, ORDER + 1)), *(f"grams-{k}" for k in range(1, ORDER))):
+        removed(spark, f"{base}/{name}")
     release(spark)
 
     def scored(packs: pa.Table, costs: pa.Table) -> pa.Table:
