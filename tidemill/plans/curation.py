@@ -84,7 +84,7 @@ sr AS (SELECT conv_id, concat_ws(',', CASE WHEN dose THEN 'medication_dose' END,
 
 
 def structural(spark, d):
-    return clean(spark, d).withColumn("reason", C.structural_reason(RULES))
+    return C.settled(clean(spark, d).withColumn("reason", C.structural_reason(RULES)))
 
 
 @query("structural_reasons", f"WITH {REASONS} SELECT conv_id, reason FROM st")
@@ -115,7 +115,7 @@ def strict_reasons(spark, d):
 def assessed(spark, d):
     """conv_id, clean, reasons (the structural one, or the standard ones)."""
     rows = structural(spark, d)
-    return rows.select("conv_id", "clean", F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(C.standard_reasons(RULES)).alias("reasons"))
+    return C.settled(rows.select("conv_id", "clean", F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(C.standard_reasons(RULES)).alias("reasons")))
 
 
 HASH = "sha256(string_agg(role || chr(31) || text, chr(30) ORDER BY turn))"
