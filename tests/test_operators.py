@@ -216,3 +216,22 @@ def test_streams(spark, tmp_path):
     batch = sorted(map(tuple, admission.admitted(rows, 3, 60.0).collect()))
     assert sorted(map(tuple, spark.table("admitted").collect())) == batch
     assert spark.table("unique").count() == 2
+
+
+def test_sheets_and_levels(spark, tmp_path):
+    from tidemill.sources import sinks
+
+    rows = spark.createDataFrame([(1, "a, \"q\"", "standard", "train"), (2, "b", "strict", "test")], "id long, t string, level string, split string")
+    sinks.write_sheet(rows, f"{tmp_path}/sheet", ["id", "t"], ["score"])
+    assert [tuple(r) for r in sinks.read_sheet(spark, f"{tmp_path}/sheet").orderBy("id").collect()] == [("1", 'a, "q"', None), ("2", "b", None)]
+    sinks.write_sheet(rows.limit(0), f"{tmp_path}/sheet", ["id", "t"], ["score"], keep_edits=True)
+    assert sinks.read_sheet(spark, f"{tmp_path}/sheet").count() == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_sheet(rows, f"{tmp_path}/sheet", ["id", "t"], ["score"])
+    manifest = sinks.write_levels(rows, f"{tmp_path}/levels")
+    assert {(r["level"], r["split"], r["n"]) for r in manifest.collect()} == {("standard", "train", 1), ("strict", "test", 1)}
+    assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, sinks.write_levels(rows.repartition(3), f"{tmp_path}/again").collect()))
+    assert sinks.read_json_lines(spark, f"{tmp_path}/levels", "id long, t string").count() == 2
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n[oops\n')
+    with pytest.raises(Exception):
+        sinks.read_json_lines(spark, f"{tmp_path}/bad.jsonl", "id long").collect()

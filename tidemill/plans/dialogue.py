@@ -193,3 +193,56 @@ def asked_slots(spark, d):
 def ranked_tokens(spark, d):
     w = Window.partitionBy("id").orderBy(F.col("gain").desc(), "token")
     return D.binary_gain(features(spark, d), knowledge(spark)[0]).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("id", "token", "rank")
+
+
+@query("case_maker", f"""WITH f AS (SELECT conv_id, arg_min(text, turn) AS message FROM conversations WHERE role = 'user' GROUP BY conv_id)
+SELECT conv_id, sha256(message) AS content_hash, CASE WHEN ('0x' || substr(sha256('cases:' || conv_id), 1, 8))::BIGINT / 4294967295.0::DOUBLE >= 0.8 THEN 'holdout' ELSE 'dev' END AS split FROM f WHERE length(message) BETWEEN 25 AND 3000""")
+def case_maker(spark, d):
+    """A case from each first user turn of a fitting length; a short first turn isn't replaced by a later one."""
+    first = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("message"))
+    split = F.when(T.hash_fraction("cases", F.col("conv_id").cast("string")) >= 0.8, "holdout").otherwise("dev")
+    return first.where(F.length("message").between(25, 3000)).select("conv_id", F.sha2("message", 256).alias("content_hash"), split.alias("split"))
+
+
+@query("judge_scores", "SELECT event_type, count(*) FILTER (k BETWEEN 1 AND 5) AS n_valid, count(*) FILTER (NOT k BETWEEN 1 AND 5) AS n_invalid, round(avg(CASE WHEN k BETWEEN 1 AND 5 THEN k END), 2) AS mean_score FROM (SELECT event_type, (props::JSON ->> 'k')::BIGINT AS k FROM events) GROUP BY event_type")
+def judge_scores(spark, d):
+    """Integer scores of 1 to 5 from JSON replies; others are invalid and count in no mean."""
+    rows = table(spark, d, "events").select("event_type", F.from_json("props", "k long")["k"].alias("k"))
+    valid = F.col("k").between(1, 5)
+    return rows.groupBy("event_type").agg(F.count(F.when(valid, 1)).alias("n_valid"), F.count(F.when(~valid, 1)).alias("n_invalid"), F.round(F.avg(F.when(valid, F.col("k"))), 2).alias("mean_score"))
+
+
+@query("question_validation", f"WITH t AS ({TURNS}) SELECT conv_id, turn, concat_ws(',', CASE WHEN NOT contains(t, '?') THEN 'no_question' END, CASE WHEN length(t) > 300 THEN 'too_long' END, CASE WHEN regexp_matches(t, '\\b(schst|ing)\\b') THEN 'names_condition' END, CASE WHEN regexp_matches(t, '[0-9]+ ?mg') THEN 'dose' END) AS reasons FROM t WHERE role = 'assistant'")
+def question_validation(spark, d):
+    """Why a generated turn is no acceptable question: all reasons that hold."""
+    t = F.col("t")
+    reasons = F.array_compact(F.array(F.when(~F.contains(t, F.lit("?")), "no_question"), F.when(F.length(t) > 300, "too_long"), F.when(t.rlike(r"\b(schst|ing)\b"), "names_condition"), F.when(t.rlike("[0-9]+ ?mg"), "dose")))
+    return turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.array_join(reasons, ",").alias("reasons"))
+
+
+@query("case_checks", "SELECT doc_id, quality = 1 AS expected_action, CASE WHEN toxic = 1 THEN length(text) < 4000 END AS short_when_toxic, contains(source, 'src') AS grounded, quality = 1 AND coalesce(CASE WHEN toxic = 1 THEN length(text) < 4000 END, true) AND contains(source, 'src') AS passed FROM labels JOIN documents USING (doc_id)")
+def case_checks(spark, d):
+    """A check that doesn't apply is null, and doesn't fail its case."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n")), "doc_id")
+    checks = {"expected_action": F.col("quality") == 1, "short_when_toxic": F.when(F.col("toxic") == 1, F.col("n") < 4000), "grounded": F.contains("source", F.lit("src"))}
+    every = F.forall(F.array(*checks.values()), lambda x: F.coalesce(x, F.lit(True)))
+    return rows.select("doc_id", *(c.alias(k) for k, c in checks.items()), every.alias("passed"))
+
+
+@query("prefix_state_examples", f"""WITH {HITS}, s AS (SELECT conv_id, turn, bool_or(affirmed > 0 AND label = 'breath') AS stop FROM h WHERE role = 'user' GROUP BY conv_id, turn),
+x AS (SELECT t.conv_id, t.turn, t.role, coalesce(bool_or(stop) OVER (PARTITION BY t.conv_id ORDER BY t.turn), false) AS stopped, lead(t.role) OVER (PARTITION BY t.conv_id ORDER BY t.turn) AS next FROM t LEFT JOIN s ON s.conv_id = t.conv_id AND s.turn = t.turn)
+SELECT conv_id, turn FROM x WHERE role = 'user' AND next = 'assistant' AND NOT stopped""")
+def prefix_state_examples(spark, d):
+    """User turns that an assistant answers, up to the first emergency of their conversation."""
+    stop = hits(spark, d).where("role = 'user'").groupBy("conv_id", "turn").agg(F.max((F.col("affirmed") > 0) & (F.col("label") == "breath")).alias("stop"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = turns(spark, d).join(stop, ["conv_id", "turn"], "left").withColumn("stopped", F.coalesce(F.max("stop").over(w), F.lit(False))).withColumn("next", F.lead("role").over(w))
+    return rows.where("role = 'user' AND next = 'assistant' AND NOT stopped").select("conv_id", "turn")
+
+
+@query("repeated_questions", f"WITH t AS ({TURNS}), s AS (SELECT conv_id, turn, regexp_extract(t, '\\b(the|und|que)\\b', 1) AS topic FROM t WHERE role = 'assistant') SELECT conv_id, turn, topic FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, topic ORDER BY turn) AS k FROM s WHERE topic <> '') WHERE k > 1")
+def repeated_questions(spark, d):
+    """Assistant turns whose topic was asked before."""
+    rows = turns(spark, d).where("role = 'assistant'").select("conv_id", "turn", F.regexp_extract("t", r"\b(the|und|que)\b", 1).alias("topic")).where("topic <> ''")
+    w = Window.partitionBy("conv_id", "topic").orderBy("turn")
+    return rows.withColumn("k", F.row_number().over(w)).where("k > 1").select("conv_id", "turn", "topic")
