@@ -133,3 +133,39 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 __all__ = ["distance", "features", "quality"]
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _oracle() -> str:
+    """The same rows in DuckDB's SQL."""
+    count = {name: f"length(t) - length(regexp_replace(t, '{pattern[:-1].replace(chr(39), chr(39) * 2)}', '', 'g'))" for name, pattern in CLASSES.items()}
+    lists = " ".join(f"WHEN '{lang}' THEN {_sql_list(words)}" for lang, words in COMMON.items() if lang)
+    total = {c: " + ".join(group) for group in (CHAR_BINS, WORD_BINS) for c in group}
+
+    def distance_sql(group: list[str]) -> str:
+        parts = []
+        for c in group:
+            p, q = f"({c} / ({total[c]})::DOUBLE)", f"(r_{c} / ({' + '.join(f'r_{x}' for x in group)}))"
+            parts += [f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END", f"CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END"]
+        return f"coalesce(CASE WHEN {total[group[0]]} > 0 THEN sqrt(greatest(({' + '.join(parts)}) / 2, 0)) END, 0)"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+  CASE lang {lists} ELSE {_sql_list(COMMON[''])} END AS c FROM d),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM (SELECT rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW}))),
+r AS (SELECT rid, sum(n)::BIGINT AS n FROM (SELECT rid, least({WINDOW}, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i), {WINDOW})) AS n FROM g WHERE n > 1) GROUP BY rid),
+f AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(t) AS c_all, {', '.join(f'{e} AS {name}' for name, e in count.items())}, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  {', '.join(f"len(list_filter(w, lambda x: x = c[{k}] OR x = upper(c[{k}][1]) || c[{k}][2:])) AS w_{x}" for k, x in enumerate(LETTERS, 1))} FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT *, c_all - ({' + '.join(CLASSES)}) AS c_other, n_words - ({' + '.join(WORD_BINS[:-1])}) AS w_none, c_all - c_space AS word_chars, c_symbol AS n_symbols,
+  n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM f),
+ref AS (SELECT lang, {', '.join(f'sum({c} / greatest({total[c]}, 1)::DOUBLE) AS r_{c}' for c in CHAR_BINS + WORD_BINS)} FROM b WHERE NOT base_failed AND n_words >= {GUARD} GROUP BY lang HAVING count(*) >= {LEAST_DOCUMENTS}),
+j AS (SELECT b.*, round({distance_sql(CHAR_BINS)}, 6) AS char_distance, round({distance_sql(WORD_BINS)}, 6) AS word_distance FROM b LEFT JOIN ref USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {GUARD} AND (char_distance > {FAR_CHAR} OR word_distance > {FAR_WORD} OR (char_distance > {NEAR_CHAR} AND word_distance > {NEAR_WORD}))) AS kept, char_distance, word_distance FROM j"""
+
+
+ORACLE = _oracle()

@@ -75,6 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemill.llm import mixing, topk
+    from tidemill.llm import mixing, quality_rules, topk
 
-    return {"op7_bit_sliced_top_k": topk.ORACLE, "op8_source_mix": mixing.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op7_bit_sliced_top_k": topk.ORACLE, "op8_source_mix": mixing.ORACLE}
