@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import release, removed, work_dir, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, path: str) -> DataFrame:
     """Every larger neighbour of a node links to the node's least neighbour (itself included)."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    least = written(least, path)  # a plain side: a hot node's neighbours can be dealt to several tasks
     return both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, path: str) -> DataFrame:
     """Every smaller neighbour of a node, and the node, link to its least neighbour. links have a < b."""
     least = links.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("n"), "m")
+    least = written(least, path)
     down = links.join(least, F.col("b") == F.col("n")).select(F.col("m").alias("a"), F.col("a").alias("b"))
     return down.where("a <> b").union(least.select(F.col("m").alias("a"), F.col("n").alias("b"))).distinct()
 
@@ -42,8 +44,10 @@ def components(links: DataFrame) -> DataFrame:
         if sign == before or not sign[0]:
             break
         before, k = sign, k + 1
-        later = written(_small_star(_large_star(now)), f"{base}/{k}")
-        removed(spark, f"{base}/{k - 1}")
+        star = written(_large_star(now, f"{base}/{k}-near"), f"{base}/{k}-star")
+        later = written(_small_star(star, f"{base}/{k}-least"), f"{base}/{k}")
+        for old in (f"{k - 1}", f"{k}-near", f"{k}-star", f"{k}-least"):
+            removed(spark, f"{base}/{old}")
         now = later
         release(spark)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())

@@ -219,8 +219,9 @@ def classes(rows: DataFrame, most: int = MOST_BITS) -> DataFrame:
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), work_dir(spark, "fingerprints-distinct"))
     roots = components(links(distinct, most))
     release(spark)
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # tables, so that the join below has plain sides and a large component's rows can be dealt to several tasks
+    named = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), work_dir(spark, "fingerprint-roots"))
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), work_dir(spark, "fingerprint-least"))
     return written(named.select("fp", "root").join(least, "root").select(F.col("fp").alias("own"), "root", "component_id"), work_dir(spark, "fingerprint-classes"))
 
 

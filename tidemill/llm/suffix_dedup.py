@@ -208,6 +208,7 @@ def repeats(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray, np.ndarra
     digests = rows.where(F.octet_length("_text") >= length).select("_group", "_own", F.unhex(F.sha2("_text", 256)).alias("digest"))
     digests = written(digests, f"{base}/digests")
     twice = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("_own").alias("least")).where("n > 1").withColumnRenamed("digest", "d")
+    twice = written(twice, f"{base}/twice")  # a table, so that the join below has plain sides and a hot digest's rows can be dealt to several tasks
     copies = digests.join(twice, F.col("digest") == F.col("d")).select("_group", "_own", "digest", (F.col("_own") == F.col("least")).alias("stands"))
 
     # 1 and 2: names of sampled suffixes, sorted by ranges
