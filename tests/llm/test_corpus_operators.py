@@ -321,3 +321,37 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_pipeline_finds_near_copies_of_four_fifths(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = prose(900 + i, rng.choice((4, 30, 120, 400))).split()
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 4):  # copies of copies, around the threshold
+            words = words[:]
+            for _ in range(rng.randint(0, 1 + len(words) // 45)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            rows.append((10 * i + k, " ".join(words).upper() if k == 2 else " ".join(words)))
+    line = prose(3, 60)  # common, and not enough to be a copy
+    rows += [(2000 + i, line + " " + prose(4000 + i, 60)) for i in range(60)] + [(3000, None), (3001, " \t")]
+
+    def own(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    sets = [own(t) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        groups[find(i)].append(doc)
+    expected = sorted(min(g) for g in groups.values())
+    near = sum(sets[i] != sets[j] for i, j in pairs)
+    assert near > 30 and len(expected) < len(rows) - 30
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == expected

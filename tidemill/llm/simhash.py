@@ -11,7 +11,7 @@ with all pairs below it, as soon as it has more than the links may have.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -213,11 +213,14 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return made[0].union(made[1]).distinct()
 
 
-def classes(rows: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """own (each distinct fingerprint of rows), root and component_id (the smallest doc_id of its component)."""
+def classes(rows: DataFrame, most: int = MOST_BITS, find: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """own (each distinct fingerprint of rows), root and component_id (the smallest doc_id of its component).
+
+    `find` gives other links (a, b) between the distinct fingerprints than those of `most` bits.
+    """
     spark = rows.sparkSession
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), work_dir(spark, "fingerprints-distinct"))
-    roots = components(links(distinct, most))
+    roots = components(find(distinct) if find else links(distinct, most))
     release(spark)
     # tables, so that the join below has plain sides and a large component's rows can be dealt to several tasks
     named = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), work_dir(spark, "fingerprint-roots"))
