@@ -2,12 +2,14 @@
 
 import json
 import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as T
 from tidemill.operators import curation, dedup, dialogue, metrics, retrieval, shaping
+from tidemill.plans import shaping as plans
 from tidemill.sources import files
 from tidemill.streaming import admission
 
@@ -145,6 +147,31 @@ def test_windows_and_packs(spark):
     assert packs == [(0, 0, 0, 99), (1, 1, 1, 1, 99), (2,) * 8, (3, 3, 99, 4, 99)]
 
 
+def test_long_conversations_are_packed_as_windows(spark, tmp_path):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, 0, "user", words("a", 3)), (1, 1, "assistant", words("b", 4))]
+    rows += [(2, 0, "system", "be brief")] + [(2, 1 + k, ("user", "assistant")[k % 2], words(f"c{k}-", 200)) for k in range(12)]
+    rows += [(3, 0, "user", words("d", 600)), (3, 1, "assistant", words("e", 600)), (4, 0, "user", words("f", 1100))]
+    rows += [(5, 0, "user", words("g", 24)), (5, 1, "assistant", words("h", 1000)), (6, 0, "user", None), (6, 1, "assistant", words("i", 5))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = plans.pack_examples(turns).orderBy("conv_id", "window").collect()
+    crc = lambda text: [zlib.crc32(w.encode()) for w in text.split()]
+    at = {(c, t): (r, crc(x or "")) for c, t, r, x in rows}
+    expected = [(1, 0, [(1, 0), (1, 1)], None)]
+    expected += [(2, k, [(2, 0), *((2, t) for t in range(1 + 2 * k, 5 + 2 * k))], None) for k in range(5)]
+    expected += [(3, 0, None, "turn_too_long"), (4, 0, None, "no_complete_turn"), (5, 0, [(5, 0), (5, 1)], None), (6, 0, [(6, 0), (6, 1)], None)]
+    assert len(found) == len(expected)
+    for r, (conv, window, parts, reason) in zip(found, expected, strict=True):
+        assert (r["conv_id"], r["window"], r["reason"]) == (conv, window, reason)
+        if parts:
+            assert r["ids"] == [i for p in parts for i in at[p][1]]
+            assert r["labels"] == [i if at[p][0] == "assistant" else -100 for p in parts for i in at[p][1]]
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = plans.pack_sequences(spark, str(tmp_path)).collect()
+    assert sorted((r["conv_id"], r["reason"]) for r in out if r["reason"]) == [(3, "turn_too_long"), (4, "no_complete_turn")]
+    assert sum(r["n_ids"] or 0 for r in out) == 8 + 5 * 803 + 1024 + 6
+
+
 def test_weighted_mix_repeats_small_sources(spark):
     rows = spark.range(30).select("id", F.when(F.col("id") < 10, "a").otherwise("b").alias("s"))
     out = shaping.weighted_mix(rows, "s", "id", {"a": 1.0, "b": 1.0}, "1").collect()

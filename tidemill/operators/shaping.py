@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -100,7 +101,24 @@ def chat_windows(turns: DataFrame, most: int, overlap: int, count: Callable[[str
     return turns.groupBy("conv_id").applyInPandas(fold, schema)
 
 
-def packed(examples: DataFrame, order: str, most: int, end_id: int, parts: int) -> DataFrame:
+def mask_words(text: str) -> int:
+    """How many ids assistant_mask() gives a text."""
+    return sum(1 for w in re.split("[ \n]+", text) if w)
+
+
+def window_messages(messages: str, first: str, last: str) -> Column:
+    """The messages of a window of chat_windows(): system texts, and turn groups first to last of those with a user and an assistant."""
+    spoken = F.filter(messages, lambda m: ~m["role"].eqNullSafe("system"))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    start = F.struct(F.array().cast("array<array<struct<role:string,content:string>>>").alias("done"), none.alias("now"))
+    new = lambda s, m: m["role"].eqNullSafe("user") & (F.size(s["now"]) > 0)
+    step = lambda s, m: F.struct(F.when(new(s, m), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), F.when(new(s, m), F.array(m)).otherwise(F.concat(s["now"], F.array(m))).alias("now"))
+    groups = F.aggregate(spoken, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    complete = F.filter(groups, lambda g: F.exists(g, lambda m: m["role"] == "user") & F.exists(g, lambda m: m["role"] == "assistant"))
+    return F.concat(F.filter(messages, lambda m: m["role"] == "system"), F.flatten(F.slice(complete, F.col(first) + 1, F.col(last) - F.col(first) + 1)))
+
+
+def packed(examples: DataFrame, order: str | list[str], most: int, end_id: int, parts: int) -> DataFrame:
     """part, pack, input_ids, labels: examples (ids, labels) joined in order, each with an end, until the next does not fit.
 
     Full-length examples pass as they are. Order matters, so packs are made within ranges of it; a range is streamed, not collected.
@@ -141,7 +159,8 @@ def packed(examples: DataFrame, order: str, most: int, end_id: int, parts: int)
         if done:
             yield pd.DataFrame(done, columns=["part", "pack", "input_ids", "labels"])
 
-    rows = examples.repartitionByRange(parts, order).sortWithinPartitions(order).select(F.spark_partition_id().alias("part"), "ids", "labels")
+    by = [order] if isinstance(order, str) else order
+    rows = examples.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), "ids", "labels")
     return rows.mapInPandas(run, "part int, pack int, input_ids array<long>, labels array<long>")
 
 

@@ -78,9 +78,30 @@ def chat_windows(spark, d):
     return S.chat_windows(table(spark, d, "conversations"), most=400, overlap=1)
 
 
+PACK = 1024
+
+
+def pack_examples(turns):
+    """conv_id, window, ids, labels, reason: a conversation that fits a pack as it is, the windows of a longer one, or why it has none.
+
+    A full pack needs no end; what is shorter by one word has room for it.
+    """
+    ids, labels = S.assistant_mask("messages")
+    turns = turns.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = C.conversations(turns).select("conv_id", "messages", F.size(ids).alias("n"))
+    long = rows.where(F.col("n") > PACK).select(F.col("conv_id").alias("_of"), "messages")
+    own = turns.join(long, F.col("conv_id").eqNullSafe(F.col("_of")), "left_semi")
+    windows = S.chat_windows(own, most=PACK, overlap=1, count=S.mask_words)
+    cut = windows.join(long, F.col("conv_id").eqNullSafe(F.col("_of"))).select("conv_id", "window", F.when(F.col("reason").isNull(), S.window_messages("messages", "first", "last")).alias("messages"), "reason")
+    whole = rows.where(F.col("n") <= PACK).select("conv_id", F.lit(0).alias("window"), "messages", F.lit(None).cast("string").alias("reason"))
+    return whole.union(cut).select("conv_id", "window", ids.alias("ids"), labels.alias("labels"), "reason")
+
+
 @query("pack_sequences")
 def pack_sequences(spark, d):
-    """Conversations of up to 1023 words joined to packs of 1024; longer ones have windows instead."""
-    ids, labels = S.assistant_mask("messages")
-    rows = messages(spark, d).select("conv_id", ids.alias("ids"), labels.alias("labels")).where(F.size("ids") < 1024)
-    return S.packed(rows, "conv_id", 1024, 0, 4).select("part", "pack", F.size("input_ids").alias("n_ids"), F.md5(F.array_join(F.col("labels").cast("array<string>"), ",")).alias("labels_hash"))
+    """Conversations, the longer ones as windows, joined to packs of 1024. A conversation that no window holds is a row with its reason and no pack."""
+    rows = pack_examples(table(spark, d, "conversations"))
+    packs = S.packed(rows.where(F.col("reason").isNull()), ["conv_id", "window"], PACK, 0, 4).select("part", "pack", F.size("input_ids").alias("n_ids"), F.md5(F.array_join(F.col("labels").cast("array<string>"), ",")).alias("labels_hash"))
+    none = F.lit(None)
+    left = rows.where(F.col("reason").isNotNull()).select(none.cast("int").alias("part"), none.cast("int").alias("pack"), none.cast("int").alias("n_ids"), none.cast("string").alias("labels_hash"), "conv_id", "reason")
+    return packs.withColumn("conv_id", none.cast("long")).withColumn("reason", none.cast("string")).union(left)
