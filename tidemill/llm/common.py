@@ -6,6 +6,8 @@ columns of an input can have any name.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 import tempfile
 import uuid
@@ -22,7 +24,14 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Python workers look at so many bytes of text at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+try:
+    LIBC = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+    LIBC.malloc_trim  # noqa: B018  (another C library has none)
+except (OSError, AttributeError):
+    LIBC = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and driver and executor are one process, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             base = own.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             base = "file://" + tempfile.mkdtemp(prefix="tidemill-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -75,6 +86,10 @@ def pieces_for(df: DataFrame, mb_each: float, least: int = 1) -> int:
     return max(least, -(-input_bytes(df) // int(mb_each * (1 << 20))))
 
 
+def one_chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a column, one text after the other, and where each begins (one more at the end); null is empty."""
     column = pc.fill_null(column, "" if not pa.types.is_binary(column.type) else b"").cast(pa.large_binary())
@@ -97,6 +112,15 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             hi = max(lo + 1, int(np.searchsorted(size, base + most, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    returned()
+
+
+def returned() -> None:
+    """What a task has freed goes back to the machine: workers live on, and executors share their memory with the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
 
 
 def spans_of_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,29 +1,30 @@
-"""Removal of repeated byte strings by a distributed difference-cover suffix sort.
+"""Removal of repeated byte strings over a difference cover.
 
 Let D be a perfect difference set modulo v: for any two positions i and j there is
 a shift s < v with both i + s and j + s in the sample, the positions that are in D
 modulo v. So two equal strings of `length` bytes have, at one shift, two equal
-sampled tuples of length - v + 1 bytes inside.
-
-1. Sample: every sampled suffix is named by its leading tuple. As a sample's
-   successor at distance v is sampled too, the name of the tuple is made of the names of
-   its two halves (the recursion on names; names are fingerprints, so no round trip is needed
-   to rank them).
-2. Sort: names are dealt by their leading bits and sorted; a name with no equal
-   neighbour goes. What is left is where a long repeat can be.
+sampled tuples of length - v + 1 bytes inside. Texts are packed, a few MB together, once.
+
+1. Sample: the distinct sampled tuples of a pack are named; names are dealt by ranges and sorted.
+2. A name with no equal neighbour goes. What is left is where a long repeat can be.
 3. Merge the remaining suffixes: the suffixes that start less than v before a sample
-   that is left are named by their leading `length` bytes and sorted as well.
+   that is left are named by their leading `length` bytes, dealt and sorted as well.
 4. Compare adjacent prefixes: a name with an equal neighbour starts a repeat.
 
-Names of tuples are exchanged as packed arrays, one row for each group of texts and
-range of names, so that a hot passage is one name for each group of texts.
-Names are 64-bit polynomial fingerprints; two different strings share one with
-probability of about 2^-64 for each pair.
+A pack sends each of its names once, whatever number of its texts hold it, so a hot
+passage is one name for each pack, and equal texts of a pack are one text. A text that other packs
+have too (by SHA-256) is a repeat as a whole, and stands as others' partner in one pack only.
+
+Names are fingerprints, not ranks: polynomials modulo primes below 2^32 at points drawn anew
+for each call, two of them for a sampled tuple (a chance equality there only costs work) and
+three, 96 bits, for a remaining suffix. No text can be built to collide; two different strings share all three
+with a probability of at most (length / 2^32)^3, and of 2^-96 as a rule.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,20 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from tidemill.llm.common import pieces_for, ragged, release, removed, sliced, text_buffer, work_dir, written
+from tidemill.llm.common import one_chunk, pieces_for, ragged, release, removed, sliced, text_buffer, work_dir, written
 
 #: Bytes of a repeat.
 LENGTH = 400
 #: The order of the projective plane behind the difference set: 11 gives 12 residues modulo 133.
 ORDER = 11
-#: MB of (compressed) input for each group of texts, and for each range of names.
-GROUP_MB, RANGE_MB = 4, 8
-#: Bytes of a text that are hashed at a time.
-PART = 1 << 20
-BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes of text in a pack; MB of (compressed) input for each range of sampled names, and of names of remaining suffixes.
+PACK_BYTES, RANGE_MB, SUFFIX_RANGE_MB = 4 << 20, 8, 2
+#: Bytes that are hashed at a time; at most 2^24, so that sums of 2^40 each fit in 64 bits.
+PART = 1 << 18
+#: The largest primes below 2^32.
+PRIMES = (4294967291, 4294967279, 4294967231)
+_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def difference_set(q: int) -> tuple[int, np.ndarray]:
@@ -66,52 +68,61 @@ def difference_set(q: int) -> tuple[int, np.ndarray]:
     raise ValueError(f"{q} is not a prime")
 
 
-def powers(inverse: bool = False) -> np.ndarray:
-    key = int(inverse)
-    if key not in _POWERS:
-        base = pow(BASE, -1, 1 << 64) if inverse else BASE
-        out = np.ones(PART + 1, np.uint64)
-        out[1:] = np.cumprod(np.full(PART, base, np.uint64))
-        _POWERS[key] = out
-    return _POWERS[key]
+def powers(prime: int, point: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the point and of its inverse, modulo the prime."""
+    if (prime, point) not in _POWERS:
+        if len(_POWERS) >= len(PRIMES):  # another call's
+            _POWERS.clear()
+        made = []
+        for base in (point, pow(point, -1, prime)):
+            out = np.ones(PART + 1, np.uint64)
+            n = 1
+            while n <= PART:
+                more = out[: min(n, PART + 1 - n)]
+                out[n : n + len(more)] = more * np.uint64(pow(base, n, prime)) % np.uint64(prime)
+                n *= 2
+            made.append(out)
+        _POWERS[prime, point] = made[0], made[1]
+    return _POWERS[prime, point]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def drawn_points() -> tuple[tuple[int, int], ...]:
+    return tuple((p, 2 + secrets.randbelow(p - 3)) for p in PRIMES)
 
 
-def names(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of text[i:i + width] for ascending i in `at`; a long text is taken in overlapping parts."""
-    out = np.empty(len(at), np.uint64)
+def residues_of(data: np.ndarray, at: np.ndarray, width: int, points: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
+    """For each point the polynomial of data[i:i + width], for ascending i in `at`; long data are taken in overlapping parts."""
+    out = [np.empty(len(at), np.uint64) for _ in points]
     lo, step = 0, PART - width
     while lo < len(at):
         begin = int(at[lo])
         hi = int(np.searchsorted(at, begin + step, "right"))
-        part = text[begin : begin + PART]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers()[: len(part)], out=total[1:])
+        part = data[begin : begin + PART].astype(np.uint64) + np.uint64(1)
         own = at[lo:hi] - begin
-        out[lo:hi] = (total[own + width] - total[own]) * powers(True)[own]
+        for into, (prime, point) in zip(out, points, strict=True):
+            power, inverse = powers(prime, point)
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * power[: len(part)], out=total[1:])
+            into[lo:hi] = (total[own + width] - total[own]) % np.uint64(prime) * inverse[own] % np.uint64(prime)
         lo = hi
-    return mix(out)
+    return out
 
 
-def sample(size: int, v: int, residues: np.ndarray, width: int) -> np.ndarray:
-    """The sampled positions of a text at which a tuple of `width` bytes begins."""
-    if size < width:
-        return np.zeros(0, np.int64)
-    at = (np.arange(0, size - width + 1, v)[:, None] + residues).ravel()
-    return at[at <= size - width]
+def mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads them over the ranges."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def tuple_names(text: np.ndarray, at: np.ndarray, v: int, half: int) -> np.ndarray:
-    """Names of tuples of v + half bytes: of the name at i and the name at i + v."""
-    both = np.union1d(at, at + v)
-    name = names(text, both, half)
-    first, second = name[np.searchsorted(both, at)], name[np.searchsorted(both, at + v)]
-    return mix(first * np.uint64(0x9DDFEA08EB382D69) ^ (second + np.uint64(0x2545F4914F6CDD1D)))
+def sample(at: np.ndarray, v: int, residues: np.ndarray, width: int) -> np.ndarray:
+    """The sampled positions, of texts that lie one after the other, at which a tuple of `width` bytes of one text begins."""
+    size = int(at[-1])
+    if size < width:
+        return np.zeros(0, np.int64)
+    place = (np.arange(0, size - width + 1, v)[:, None] + residues).ravel()
+    place = place[place <= size - width]
+    return place[place + width <= at[np.searchsorted(at, place, "right")]]
 
 
 def dealt(name: np.ndarray, ranges: int) -> np.ndarray:
@@ -141,248 +152,260 @@ def values_of(data: bytes) -> np.ndarray:
     return np.cumsum(out)
 
 
-def covered(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs that strings of `length` bytes at ascending starts cover: begins and ends."""
+def in_order(name: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal names (and further bits; empty: none) together, and where in it another name begins."""
+    order = np.argsort(name)
+    first = np.ones(len(name), bool)
+    ranked = name[order]
+    first[1:] = ranked[1:] != ranked[:-1]
+    if len(more):
+        rest = more[order]
+        differ = rest[1:] != rest[:-1]
+        if (~first[1:] & differ).any():
+            order = np.lexsort((more, name))
+            ranked, rest = name[order], more[order]
+            first[1:], differ = ranked[1:] != ranked[:-1], rest[1:] != rest[:-1]
+        first[1:] |= differ
+    return order, first
+
+
+class Names:
+    """The names of a pack's suffixes, each once and sorted, and which of them it has more than once."""
+
+    def __init__(self, name: np.ndarray, more: np.ndarray = np.zeros(0, np.uint32)):
+        order, first = in_order(name, more)
+        lead = order[first]
+        self.name, self.more = name[lead], more[lead] if len(more) else more
+        self.rank = np.empty(len(name), np.int64)
+        self.rank[order] = np.cumsum(first) - 1
+        self.repeated = np.bincount(self.rank, minlength=len(lead)) > 1
+
+    def _ranges(self, n: int) -> Iterator[tuple[int, int, int]]:
+        edges = np.searchsorted(dealt(self.name, n), np.arange(n + 1))
+        for r in np.flatnonzero(np.diff(edges)).tolist():
+            yield r, int(edges[r]), int(edges[r + 1])
+
+    def rows(self, group: int, n: int) -> pa.RecordBatch:
+        """A row for each range of names that some are in."""
+        out = [(r, group, ascending(self.name[a:b]), self.more[a:b].astype("<u4").tobytes(), np.packbits(self.repeated[a:b]).tobytes()) for r, a, b in self._ranges(n)]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["range", "group", "names", "more", "repeated"])
+
+    def equal(self, flags: pa.Table, n: int) -> np.ndarray:
+        """Of each suffix, whether its name has an equal anywhere."""
+        answers = dict(zip(flags.column("range").to_pylist(), flags.column("equal").to_pylist(), strict=True))
+        out = np.zeros(len(self.name), bool)
+        for r, a, b in self._ranges(n):
+            if r in answers:
+                out[a:b] = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=b - a)
+        return out[self.rank]
+
+
+#: In place of a range: the texts of a pack (their numbers) that others have too, and those that stand for others.
+COPY, STANDS = -1, -2
+NAMES = "range int, group long, names binary, more binary, repeated binary"
+FLAGS = "group long, range int, equal binary"
+
+
+def compared(table: pa.Table) -> pa.Table:
+    """Adjacent equal names, from two packs or marked by one, are repeats: a bit for each name of each pack, where one is set."""
+    own = [values_of(x) for x in table.column("names").to_pylist()]
+    size = [len(x) for x in own]
+    more = np.frombuffer(b"".join(table.column("more").to_pylist()), "<u4")
+    repeated = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("repeated").to_pylist(), size, strict=True)]).astype(bool)
+    name = np.concatenate(own)
+    order, first = in_order(name, more)
+    lead = np.flatnonzero(first)
+    again = (np.add.reduceat(repeated[order], lead, dtype=np.int64) > 0) | (np.diff(np.append(lead, len(name))) > 1)
+    flag = np.empty(len(name), bool)
+    flag[order] = again[np.cumsum(first) - 1]
+    bits = np.split(flag, np.cumsum(size)[:-1])
+    some = pa.array([i for i, x in enumerate(bits) if x.any()], pa.int64())
+    return pa.table([table.column("group").take(some), pa.array([np.packbits(bits[i]).tobytes() for i in some.to_pylist()], pa.binary()), table.column("range").take(some)], names=["group", "equal", "range"]).select(["group", "range", "equal"])
+
+
+def covered(starts: np.ndarray, length: int, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs that strings of `length` bytes at ascending starts cover: begins and ends. text: the text of each start, which no run leaves."""
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.flatnonzero(np.append(True, starts[1:] > starts[:-1] + length))
+    cut = starts[1:] > starts[:-1] + length
+    if text is not None:
+        cut |= text[1:] != text[:-1]
+    new = np.flatnonzero(np.append(True, cut))
     return starts[new], np.append(starts[new[1:] - 1], starts[-1]) + length
 
 
-class Group:
-    """The suffixes of some texts that are left: their names, sorted, and which are equal."""
+def _blob(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def __init__(self, texts: list[np.ndarray], spans: list[np.ndarray], length: int):
-        self.starts = [ragged(s[:, 0], s[:, 1] - s[:, 0]) for s in spans]
-        name = np.concatenate([names(t, s, length) for t, s in zip(texts, self.starts, strict=True)])
-        order = np.argsort(name, kind="stable")
-        ranked = name[order]
-        first = np.append(True, ranked[1:] != ranked[:-1])
-        self.distinct = ranked[first]
-        self.rank = np.empty(len(name), np.int64)
-        self.rank[order] = np.cumsum(first) - 1
-        self.repeated = np.bincount(self.rank, minlength=len(self.distinct)) > 1
-
-    def ranges(self, n: int) -> Iterator[tuple[int, int, int]]:
-        """Each range of names that some are in, and which of the distinct ones."""
-        edges = np.searchsorted(dealt(self.distinct, n), np.arange(n + 1))
-        for r in np.flatnonzero(np.diff(edges)).tolist():
-            yield r, int(edges[r]), int(edges[r + 1])
 
-    def runs(self, equal: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text the runs that repeats cover; equal: which distinct names have equals anywhere."""
-        at = 0
-        for starts in self.starts:
-            own = starts[equal[self.rank[at : at + len(starts)]]]
-            at += len(starts)
-            yield covered(own, length)
+def _table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 NONE = np.zeros(0, np.int64)
+Finish = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple]
 
 
-def repeats(docs: DataFrame, finish: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple], fields: str, length: int = LENGTH, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named in `keep`, and what finish(bytes, begins, ends) gives (its DDL: fields) for each row.
+def repeats(docs: DataFrame, finish: Finish, fields: str, length: int = LENGTH, order: int = ORDER, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """row (the columns named in `keep`) and found (what finish(bytes, begins, ends) gives; its DDL: fields) for each row.
 
     begins and ends are the maximal runs of the text's bytes that repeats cover. A repeat is a
     string of `length` bytes that starts at two places, of one row or of two; overlaps count, and
-    nothing crosses rows. A null text is empty. Equal rows repeat each other. Rows without doc_id
-    are rows like any other. An empty table gives no rows.
+    nothing crosses rows. A null text is empty. Equal rows repeat each other. Identifiers play no part:
+    they can be null or repeat. Both columns are structs, so names can't clash. An empty table gives no rows.
 
-    Three shuffles: of sampled names, of texts, and of the names of suffixes that are left.
-    Memory: the texts of one group, and about 60 bytes for each suffix in it that is left.
+    Texts are shuffled once, those with a candidate once more, and names twice.
+    Memory: a pack of texts (or one longer text) with about 60 bytes for each suffix in it that is left,
+    and a range of names.
     """
     spark = docs.sparkSession
     v, residues = difference_set(order)
     width = length - v + 1
-    half = width - v
-    if half < 16:
+    if width < 16:
         raise ValueError("the difference set is too wide for this length")
     base = work_dir(spark, "suffixes")
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, ranges = pieces_for(docs, GROUP_MB, parallel), pieces_for(docs, RANGE_MB, parallel)
-    group = F.pmod(F.xxhash64(F.lit(11), docs[id_col]), F.lit(groups)).cast("int")
-    rows = docs.select(docs[id_col].alias("doc_id"), *keep, docs[text_col].alias("_text"), group.alias("_group"), F.xxhash64(F.lit(12), docs[id_col]).alias("_own"))
-
-    # exact copies: all of a text that occurs twice is a repeat; one of them stands for all as others' partner
-    digests = rows.where(F.octet_length("_text") >= length).select("_group", "_own", F.unhex(F.sha2("_text", 256)).alias("digest"))
-    digests = written(digests, f"{base}/digests")
-    twice = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("_own").alias("least")).where("n > 1").withColumnRenamed("digest", "d")
-    twice = written(twice, f"{base}/twice")  # a table, so that the join below has plain sides and a hot digest's rows can be dealt to several tasks
-    copies = digests.join(twice, F.col("digest") == F.col("d")).select("_group", "_own", "digest", (F.col("_own") == F.col("least")).alias("stands"))
+    ranges, suffix_ranges = pieces_for(docs, RANGE_MB, parallel), pieces_for(docs, SUFFIX_RANGE_MB, parallel)
+    points = drawn_points()
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", PACK_BYTES):
+            text = batch.column("text").fill_null("").cast(pa.large_binary()).dictionary_encode()
+            of = pa.table([batch.column("row"), text.indices], names=["row", "code"])
+            digests = [hashlib.sha256(t).digest() if len(t) >= length else None for t in text.dictionary.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_blob(of)], pa.binary()), pa.array([_blob(pa.table([text.dictionary], names=["text"]))], pa.binary()), pa.array([digests], pa.list_(pa.binary()))], names=["rows", "texts", "digests"])
+
+    packs = rows.mapInArrow(packed, "rows binary, texts binary, digests array<binary>").withColumn("group", F.monotonically_increasing_id())
+    packs = written(packs, f"{base}/packs")  # a pack keeps its number from here on
+
+    # texts of several packs; a table, so that the join below has plain sides and a hot digest's rows can be dealt to several tasks
+    digests = written(packs.select("group", F.posexplode("digests").alias("at", "digest")).where("digest IS NOT NULL"), f"{base}/digests")
+    twice = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("group").alias("stands")).where("n > 1").select(F.col("digest").alias("d"), "stands")
+    twice = written(twice, f"{base}/twice")
+    copies = digests.join(twice, F.col("digest") == F.col("d")).select("group", "at", (F.col("group") == F.col("stands")).alias("stands"))
+
+    def noted(table: pa.Table) -> pa.Table:
+        """The copies of a pack as a row beside its flags."""
+        at, stands = np.asarray(table.column("at"), "<i4"), np.asarray(table.column("stands").to_numpy(zero_copy_only=False), bool)
+        kinds = [(COPY, at[~stands]), (STANDS, at[stands])]
+        return pa.table([pa.array([table.column("group")[0].as_py()] * 2, pa.int64()), pa.array([k for k, _ in kinds], pa.int32()), pa.array([x.tobytes() for _, x in kinds], pa.binary())], names=["group", "range", "equal"])
+
+    notes = copies.groupBy("group").applyInArrow(noted, FLAGS)
 
     # 1 and 2: names of sampled suffixes, sorted by ranges
+    def samples(texts: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, Names]:
+        own = _table(texts)
+        data, at = text_buffer(one_chunk(own.column("text")))
+        place = sample(at, v, residues, width)
+        a, b = residues_of(data, place, width, points[:2])
+        return own, data, at, place, Names(mix(a << np.uint64(32) | b))
+
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
-            data, at = text_buffer(batch.column("_text"))
-            group, own = np.asarray(batch.column("_group"), np.int64), np.asarray(batch.column("_own"), np.int64)
-            name, doc, place = [], [], []
-            for k in range(batch.num_rows):
-                text = data[at[k] : at[k + 1]]
-                i = sample(len(text), v, residues, width)
-                if len(i):
-                    name.append(tuple_names(text, i, v, half))
-                    doc.append(np.full(len(i), k, np.int64))
-                    place.append(i)
-            if not name:
-                continue
-            name, doc, place = np.concatenate(name), np.concatenate(doc), np.concatenate(place)
-            to = dealt(name, ranges)
-            by = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[by], np.arange(ranges + 1))
-            kind = "<u4" if place.max() < 1 << 32 else "<u8"
-            out: list[tuple] = []
-            for r in np.flatnonzero(np.diff(edges)).tolist():
-                pick = by[edges[r] : edges[r + 1]]
-                texts, local = np.unique(doc[pick], return_inverse=True)
-                low = (name[pick] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                out.append((r, *(x.tobytes() for x in (low, local.astype("<u4"), place[pick].astype(kind), group[texts].astype("<i4"), own[texts].astype("<i8")))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(zip(*out, strict=True))], names=["range", "names", "texts", "places", "groups", "owns"])
-
-    def sorted_names(table: pa.Table) -> pa.Table:
-        name, group, own, place = [], [], [], []
-        for n, t, p, g, o in zip(*(table.column(c).to_pylist() for c in ("names", "texts", "places", "groups", "owns")), strict=True):
-            local = np.frombuffer(t, "<u4")
-            name.append(np.frombuffer(n, "<u4"))
-            place.append(np.frombuffer(p, "<u4" if len(p) == len(n) else "<u8").astype(np.int64))
-            group.append(np.frombuffer(g, "<i4")[local])
-            own.append(np.frombuffer(o, "<i8")[local])
-        name, group, own, place = (np.concatenate(x) for x in (name, group, own, place))
-        by = np.argsort(name, kind="stable")
-        ranked = name[by]
-        same = np.append(False, ranked[1:] == ranked[:-1])
-        left = by[same | np.append(same[1:], False)]
-        by = left[np.lexsort((place[left], own[left], group[left]))]
-        group, own, place = group[by], own[by], place[by]
-        out = []
-        if len(by):
-            text = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (group[1:] != group[:-1])))
-            lead = np.flatnonzero(np.append(True, np.diff(group[text]) != 0))
-            stop = np.append(text, len(by))
-            for a, b in zip(lead.tolist(), np.append(lead[1:], len(text)).tolist(), strict=True):
-                lo, hi = stop[a], stop[b]
-                out.append((int(group[lo]), own[text[a:b]].astype("<i8").tobytes(), np.diff(stop[a : b + 1]).astype("<i8").tobytes(), place[lo:hi].astype("<i8").tobytes()))
-        return pa.table([pa.array([o[i] for o in out], pa.binary() if i else pa.int32()) for i in range(4)], names=["_group", "owns", "counts", "places"])
-
-    tuples = rows.select("_group", "_own", "_text").mapInArrow(sampled, "range int, names binary, texts binary, places binary, groups binary, owns binary")
-    left = written(tuples.groupBy("range").applyInArrow(sorted_names, "_group int, owns binary, counts binary, places binary"), f"{base}/sample")
+        for batch in batches:
+            for group, texts in zip(batch.column("group").to_pylist(), batch.column("texts"), strict=True):
+                yield samples(texts.as_buffer())[-1].rows(group, ranges)
+
+    flags = packs.select("group", "texts").mapInArrow(sampled, NAMES).groupBy("range").applyInArrow(compared, FLAGS)
+    flags = written(flags.union(notes), f"{base}/sample")
     release(spark)
 
-    # 3: samples that are left meet their texts; what can hold a repeat is packed, one row for each group
-    kept = rows.select("doc_id", *keep).schema
-    result = StructType([*kept.fields, *StructType.fromDDL(fields).fields])
+    # 3: samples that are left meet their texts; what can hold a repeat is packed again
+    result = StructType([StructField("row", rows.schema["row"].dataType), StructField("found", StructType.fromDDL(fields))])
     made = to_arrow_schema(result)
-    own_fields = [made.field(i) for i in range(len(kept.fields), len(made.names))]
-
-    def finished(columns: list[pa.Array], ends: list[tuple]) -> list[pa.Array]:
-        return [*columns, *(pa.array([e[i] for e in ends], f.type) for i, f in enumerate(own_fields))]
-
-    def gather(texts: pa.Table, notes: pa.Table) -> pa.Table:
-        places: dict[int, list] = {}
-        copied: dict[tuple[int, bytes], bool] = {}
-        for own, same, stands, owns, counts, at in zip(*(notes.column(c).to_pylist() for c in ("_own", "digest", "stands", "owns", "counts", "places")), strict=True):
-            if owns is None:
-                copied[own, same] = copied.get((own, same), False) or stands
-                continue
-            cut = np.cumsum(np.frombuffer(counts, "<i8"))[:-1]
-            for o, p in zip(np.frombuffer(owns, "<i8").tolist(), np.split(np.frombuffer(at, "<i8"), cut), strict=True):
-                places.setdefault(o, []).append(p)
-        column = texts.column("_text").combine_chunks() if texts.num_rows else pa.array([], pa.string())
-        data, at = text_buffer(column)
-        done, ends, picked, spans, whole, stood = [], [], [], [], [], set()
-        with_copies = {own for own, _ in copied}
-        for k, own in enumerate(texts.column("_own").to_pylist()):
-            text, span = data[at[k] : at[k + 1]], None
-            name = (own, hashlib.sha256(text).digest()) if own in with_copies else None
-            alike = name in copied
-            if own in places and len(text) >= length and not (alike and (not copied[name] or name in stood)):
-                p = np.unique(np.concatenate(places[own]))
-                lo, hi = np.maximum(p - v + 1, 0), np.minimum(p + 1, len(text) - length + 1)
-                lo, hi = lo[lo < hi], hi[lo < hi]
-                if len(lo):
-                    new = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
-                    span = np.stack([lo[new], np.append(hi[new[1:] - 1], hi[-1])], axis=1)
-            if span is None:
-                done.append(k)
-                ends.append(finish(text, np.zeros(1, np.int64), np.array([len(text)])) if alike else finish(text, NONE, NONE))
-            else:
-                stood.add(name)
-                picked.append(k)
-                whole.append(alike)
-                spans.append(span.astype("<i8").tobytes())
-        base_columns = texts.select(kept.fieldNames())
-        blob = None
-        if picked:
-            own_rows = base_columns.take(pa.array(picked, pa.int64())).append_column("_bytes", column.cast(pa.large_binary()).take(pa.array(picked, pa.int64()))).append_column("_spans", pa.array(spans, pa.large_binary())).append_column("_whole", pa.array(whole, pa.bool_()))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own_rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(own_rows)
-            blob = sink.getvalue().to_pybytes()
-        first = base_columns.take(pa.array(done, pa.int64()))
-        columns = finished([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in first.columns], ends)
-        n = len(done)
-        out = pa.table([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[*made.names, "_group", "_pack"])
-        if blob is not None:
-            one = pa.table([*(pa.nulls(1, t) for t in made.types), texts.column("_group").slice(0, 1).combine_chunks(), pa.array([blob], pa.binary())], names=out.schema.names)
+    ends_type = made.field("found").type
+
+    def finished(of: pa.Table, pick: np.ndarray, ends: list[tuple], at: np.ndarray) -> list[pa.Array]:
+        """The rows numbered `pick`; ends[i] belongs to the row pick[i], by at[i]."""
+        found = pa.StructArray.from_arrays([pa.array([e[i] for e in ends], ends_type.field(i).type) for i in range(ends_type.num_fields)], fields=[ends_type.field(i) for i in range(ends_type.num_fields)])
+        return [one_chunk(of.column("row")).take(pa.array(pick)), found.take(pa.array(at))]
+
+    def gather(packs: pa.Table, flags: pa.Table) -> pa.Table:
+        of = _table(packs.column("rows")[0].as_buffer())
+        own, data, at, place, names = samples(packs.column("texts")[0].as_buffer())
+        code = np.asarray(one_chunk(of.column("code")), np.int64)
+        n = len(at) - 1
+        noted = {r: np.frombuffer(x, "<i4") for r, x in zip(flags.column("range").to_pylist(), flags.column("equal").to_pylist(), strict=True) if r < 0}
+        left = place[names.equal(flags, ranges)]
+        text = np.searchsorted(at, left, "right") - 1
+        lo, hi = np.maximum(left - v + 1, at[text]), np.minimum(left + 1, at[text + 1] - length + 1)
+        some = lo < hi
+        lo, hi, text = lo[some], hi[some], text[some]
+        new = np.flatnonzero(np.append(True, lo[1:] > hi[:-1])) if len(lo) else NONE
+        begin, end, text = lo[new], hi[np.append(new[1:] - 1, len(hi) - 1)] if len(lo) else NONE, text[new]
+        whole = (np.bincount(code, minlength=n) > 1) & (np.diff(at) >= length)
+        for copied in noted.values():
+            whole[copied] = True
+        with_spans = np.zeros(n, bool)
+        with_spans[text] = True
+        with_spans[noted.get(COPY, NONE)] = False
+        some = with_spans[text]
+        begin, end, text = begin[some], end[some], text[some]
+        # texts without a candidate are finished
+        done = np.flatnonzero(~with_spans)
+        ends = [finish(data[a:b], *((np.zeros(1, np.int64), np.array([b - a])) if w else (NONE, NONE))) for a, b, w in zip(at[done].tolist(), at[done + 1].tolist(), whole[done].tolist(), strict=True)]
+        number = np.cumsum(~with_spans) - 1
+        pick = np.flatnonzero(~with_spans[code])
+        columns = finished(of, pick, ends, number[code[pick]])
+        out = pa.table([*columns, pa.nulls(len(pick), pa.int64()), pa.nulls(len(pick), pa.binary()), pa.nulls(len(pick), pa.binary())], names=["row", "found", "group", "rows", "texts"])
+        if len(text):
+            kept = np.flatnonzero(with_spans)
+            number = np.cumsum(with_spans) - 1
+            pick = np.flatnonzero(with_spans[code])
+            edge = np.searchsorted(text, np.append(kept, n))
+            spans = [np.stack([begin[a:b], end[a:b]], axis=1) - at[k] for k, a, b in zip(kept.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            texts = pa.table([one_chunk(own.column("text")).take(pa.array(kept)), pa.array([s.astype("<i8").tobytes() for s in spans], pa.large_binary()), pa.array(whole[kept])], names=["text", "spans", "whole"])
+            again = pa.table([one_chunk(of.column("row")).take(pa.array(pick)), pa.array(number[code[pick]])], names=["row", "code"])
+            one = pa.table([*(pa.nulls(1, t) for t in made.types), one_chunk(packs.column("group")).slice(0, 1), pa.array([_blob(again)], pa.binary()), pa.array([_blob(texts)], pa.binary())], names=out.schema.names)
             out = pa.concat_tables([out, one])
         return out
 
-    alike = copies.select("_group", "_own", "digest", "stands", *(F.lit(None).cast("binary").alias(c) for c in ("owns", "counts", "places")))
-    notes = alike.unionByName(left, allowMissingColumns=True)
-    with_pack = StructType([*result.fields]).add("_group", "integer").add("_pack", "binary")
-    gathered = written(rows.groupBy("_group").cogroup(notes.groupBy("_group")).applyInArrow(gather, with_pack), f"{base}/texts")
-    removed(spark, f"{base}/sample")
+    with_packs = StructType([*result.fields]).add("group", "long").add("rows", "binary").add("texts", "binary")
+    gathered = written(packs.groupBy("group").cogroup(flags.groupBy("group")).applyInArrow(gather, with_packs), f"{base}/texts")
+    for done in ("packs", "sample"):
+        removed(spark, f"{base}/{done}")
     release(spark)
-    packs = gathered.where(F.col("_pack").isNotNull()).select("_group", "_pack")
-
-    def opened(blob: bytes) -> tuple[pa.Table, list[np.ndarray], Group]:
-        table = pa.ipc.open_stream(blob).read_all().combine_chunks()
-        data, at = text_buffer(table.column("_bytes").combine_chunks())
-        texts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        return table, texts, Group(texts, [np.frombuffer(s, "<i8").reshape(-1, 2).astype(np.int64) for s in table.column("_spans").to_pylist()], length)
+    for done in ("digests", "twice"):
+        removed(spark, f"{base}/{done}")
+    packs = gathered.where(F.col("group").isNotNull()).select("group", "rows", "texts")
+
+    def suffixes(texts: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, Names]:
+        own = _table(texts)
+        data, at = text_buffer(one_chunk(own.column("text")))
+        spans = [np.frombuffer(s, "<i8").reshape(-1, 2) + a for s, a in zip(own.column("spans").to_pylist(), at.tolist(), strict=False)]
+        spans = np.concatenate(spans).astype(np.int64)
+        start = ragged(spans[:, 0], spans[:, 1] - spans[:, 0])
+        a, b, c = residues_of(data, start, length, points)
+        return own, data, at, start, Names(mix(a << np.uint64(32) | b), c.astype(np.uint32))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, blob in zip(batch.column("_group").to_pylist(), batch.column("_pack").to_pylist(), strict=True):
-                _, _, own = opened(blob)
-                out = [(r, number, ascending(own.distinct[a:b]), np.packbits(own.repeated[a:b]).tobytes()) for r, a, b in own.ranges(ranges)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "_group", "names", "repeated"])
-
-    def compared(table: pa.Table) -> pa.Table:
-        """Adjacent equal names, from two groups or marked by one, are repeats: a bit for each name of each group."""
-        name = [values_of(x) for x in table.column("names").to_pylist()]
-        size = np.array([len(x) for x in name])
-        equal = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("repeated").to_pylist(), size.tolist(), strict=True)]).astype(bool)
-        name = np.concatenate(name)
-        order = np.argsort(name, kind="stable")
-        ranked = name[order]
-        first = np.append(True, ranked[1:] != ranked[:-1])
-        lead = np.flatnonzero(first)
-        again = np.add.reduceat(equal[order].astype(np.int64), lead) + (np.diff(np.append(lead, len(ranked))) > 1) > 0
-        flag = np.empty(len(name), bool)
-        flag[order] = again[np.cumsum(first) - 1]
-        cut = np.cumsum(size)[:-1]
-        return pa.table([table.column("_group"), table.column("range"), pa.array([np.packbits(x).tobytes() for x in np.split(flag, cut)], pa.binary())], names=["_group", "range", "equal"])
-
-    flags = packs.mapInArrow(named, "range int, _group int, names binary, repeated binary").groupBy("range").applyInArrow(compared, "_group int, range int, equal binary")
-    flags = written(flags, f"{base}/flags")
+            for group, texts in zip(batch.column("group").to_pylist(), batch.column("texts"), strict=True):
+                yield suffixes(texts.as_buffer())[-1].rows(group, suffix_ranges)
+
+    flags = written(packs.select("group", "texts").mapInArrow(named, NAMES).groupBy("range").applyInArrow(compared, FLAGS), f"{base}/flags")
     release(spark)
 
     # 4: repeats of each text
     def cut(packs: pa.Table, flags: pa.Table) -> pa.Table:
-        out = []
-        answers = dict(zip(flags.column("range").to_pylist(), flags.column("equal").to_pylist(), strict=True))
-        for blob in packs.column("_pack").to_pylist():
-            table, texts, own = opened(blob)
-            equal = np.zeros(len(own.distinct), bool)
-            for r, a, b in own.ranges(ranges):
-                equal[a:b] = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=b - a)
-            ends = [finish(t, np.zeros(1, np.int64), np.array([len(t)])) if whole else finish(t, a, b) for t, (a, b), whole in zip(texts, own.runs(equal, length), table.column("_whole").to_pylist(), strict=True)]
-            out.append(pa.table(finished([table.column(c).combine_chunks() for c in kept.fieldNames()], ends), schema=made))
-        return pa.concat_tables(out) if out else made.empty_table()
-
-    rest = packs.groupBy("_group").cogroup(flags.groupBy("_group")).applyInArrow(cut, result)
-    return gathered.where(F.col("_pack").isNull()).select(*result.fieldNames()).union(rest)
+        of = _table(packs.column("rows")[0].as_buffer())
+        own, data, at, start, names = suffixes(packs.column("texts")[0].as_buffer())
+        start = start[names.equal(flags, suffix_ranges)]
+        begin, end = covered(start, length, np.searchsorted(at, start, "right"))
+        edge = np.searchsorted(begin, at)
+        ends = []
+        for k, whole in enumerate(own.column("whole").to_pylist()):
+            a, b = int(at[k]), int(at[k + 1])
+            runs = (np.zeros(1, np.int64), np.array([b - a])) if whole else (begin[edge[k] : edge[k + 1]] - a, end[edge[k] : edge[k + 1]] - a)
+            ends.append(finish(data[a:b], *runs))
+        code = np.asarray(one_chunk(of.column("code")), np.int64)
+        return pa.table(finished(of, np.arange(len(code)), ends, code), schema=made)
+
+    rest = packs.groupBy("group").cogroup(flags.groupBy("group")).applyInArrow(cut, result)
+    return gathered.where(F.col("group").isNull()).select("row", "found").union(rest)
 
 
 def digest(text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str]:
@@ -411,4 +434,5 @@ def without_repeats(text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> t
 
 def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row: see repeats()."""
-    return repeats(docs, digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col=id_col, text_col=text_col)
+    found = repeats(docs, digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", text_col=text_col, keep=(id_col,))
+    return found.select(F.col("row").getField(id_col).alias("doc_id"), "found.*")
