@@ -11,7 +11,7 @@ with all pairs below it, as soon as it has more than the links may have.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,12 +31,14 @@ SEED = 42
 GROUP_ROWS = 1024
 #: Bits that each level of the hierarchy adds, and pairs of nodes looked at together.
 LEVEL_BITS, PAIRS_AT_ONCE = 8, 1 << 20
+#: Hashes whose bits are counted together, and bytes beyond which a text is hashed in parts.
+RUN, LONG = 1 << 15, 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def fingerprint_slice(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
-    """A 64-bit fingerprint of every text: bit set if set in over half of its shingles' hashes, repeats included."""
+def hashed_shingles(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of every text's shingles, repeats included, and where each text's begin (one more at the end)."""
     begin, end, first = spans_of_words(data, at)
     # the words of a text, lower-cased, with one space after each
     length = end - begin
@@ -49,37 +51,80 @@ def fingerprint_slice(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndar
     lead = ragged(first[:-1], n)
     last = lead + np.minimum(shingle, np.repeat(n_words, n)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(place[lead].tolist(), stop[last].tolist(), strict=True)), np.uint64, len(lead))
+    hashes = np.empty(len(lead), np.uint64)
+    for i in range(0, len(lead), RUN):
+        hashes[i : i + RUN] = [digest(raw[a:b], SEED) for a, b in zip(place[lead[i : i + RUN]].tolist(), stop[last[i : i + RUN]].tolist(), strict=True)]
+    return hashes, np.append(0, np.cumsum(n))
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), RUN):
+        ones += np.unpackbits(hashes[i : i + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority_of_runs(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """For each run hashes[edge[i]:edge[i + 1]] the bits that are set in over half of it; 0 for an empty one. So many at once that the bits stay small.
+
+    hashes: 64-bit numbers, or rows of several; so is the result.
+    """
+    if hashes.ndim > 1:
+        return np.stack([majority_of_runs(np.ascontiguousarray(h), edge) for h in hashes.T], axis=1)
+    n = np.diff(edge)
     out = np.zeros(len(n), np.uint64)
-    edge = np.zeros(len(n) + 1, np.int64)
-    np.cumsum(n, out=edge[1:])
     some = np.flatnonzero(n)
     lo = 0
-    while lo < len(some):  # so many texts at once that the bits stay small
-        hi = max(lo + 1, int(np.searchsorted(edge[some + 1], edge[some[lo]] + (1 << 17), "right")))
-        texts = some[lo:hi]
-        out[texts] = majority(hashes[edge[texts[0]] : edge[texts[-1] + 1]], edge[texts] - edge[texts[0]], n[texts])
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(edge[some + 1], edge[some[lo]] + RUN, "right")))
+        runs = some[lo:hi]
+        part = hashes[edge[runs[0]] : edge[runs[-1] + 1]]
+        if len(runs) == 1:
+            ones = ones_of(part)[None]
+        else:
+            ones = np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), edge[runs] - edge[runs[0]], axis=0, dtype=np.int32)
+        out[runs] = np.packbits(2 * ones > n[runs][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
         lo = hi
     return out
 
 
-def majority(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Bits set in over half of each run of hashes; a long run is counted in parts."""
-    if len(starts) == 1 and len(hashes) > 1 << 17:
-        ones = np.zeros((1, 64), np.int64)
-        for i in range(0, len(hashes), 1 << 17):
-            ones += np.unpackbits(hashes[i : i + (1 << 17)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+def fingerprint_slice(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
+    """A 64-bit fingerprint of every text: bit set if set in over half of its shingles' hashes, repeats included."""
+    if len(at) == 2 and len(data) > LONG:
+        return fingerprint_long(data, shingle)
+    return majority_of_runs(*hashed_shingles(data, at, shingle))
+
+
+def fingerprint_long(data: np.ndarray, shingle: int) -> np.ndarray:
+    """The same for one long text, in parts that share shingle - 1 words."""
+    ones, n, lo = np.zeros(64, np.int64), 0, 0
+    while lo < len(data):
+        hi, step = len(data), LONG
+        while lo + step < len(data):
+            begin, end, _ = spans_of_words(data[lo : lo + step], np.array([0, step]))
+            if len(begin) > 2 * shingle:  # the last word may go on
+                hi = lo + int(end[-2])
+                back = lo + int(begin[-shingle])
+                break
+            step *= 2
+        hashes, _ = hashed_shingles(data[lo:hi], np.array([0, hi - lo]), shingle)
+        whole = hi == len(data)
+        if whole and lo and len(spans_of_words(data[lo:hi], np.array([0, hi - lo]))[0]) < shingle:
+            break  # what is left are words of the part before
+        ones += ones_of(hashes)
+        n += len(hashes)
+        if whole:
+            break
+        lo = back
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64) if n else np.zeros(1, np.uint64)
 
 
 def with_fingerprints(rows: DataFrame, text_col: str, into: str, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns in `keep`, and each row's fingerprint as a signed 64-bit integer; no words (or a null text): 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, LONG):
             fp = fingerprint_slice(*text_buffer(batch.column(text_col)), shingle)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fp.view(np.int64))], names=[*keep, into])
 
@@ -213,14 +258,11 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return made[0].union(made[1]).distinct()
 
 
-def classes(rows: DataFrame, most: int = MOST_BITS, find: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """own (each distinct fingerprint of rows), root and component_id (the smallest doc_id of its component).
-
-    `find` gives other links (a, b) between the distinct fingerprints than those of `most` bits.
-    """
+def classes(rows: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """own (each distinct fingerprint of rows), root and component_id (the smallest doc_id of its component)."""
     spark = rows.sparkSession
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), work_dir(spark, "fingerprints-distinct"))
-    roots = components(find(distinct) if find else links(distinct, most))
+    roots = components(links(distinct, most))
     release(spark)
     # tables, so that the join below has plain sides and a large component's rows can be dealt to several tasks
     named = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), work_dir(spark, "fingerprint-roots"))
@@ -240,12 +282,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     return rows.join(classes(rows, most), F.col("fp") == F.col("own")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """The rows of docs (columns doc_id, text and any others) of which each is its component's smallest doc_id; one, where rows repeat."""
-    rows = written(fingerprints(docs, shingle), work_dir(docs.sparkSession, "fingerprints"))
-    marked = with_fingerprints(docs, "text", "_fp", shingle, tuple(docs.columns))
-    first = marked.join(classes(rows, most), F.col("_fp") == F.col("own")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["root"]).select(*docs.columns)
-
-
-__all__ = ["classes", "fingerprints", "gray_rank", "linked", "links", "near_duplicates", "one_of_each"]
+__all__ = ["classes", "fingerprints", "gray_rank", "linked", "links", "majority_of_runs", "near_duplicates"]
