@@ -29,7 +29,7 @@ from tidemill.llm.pieces import encoded
 #: Pieces up to this many bytes are merged directly: the leaves of the tree.
 LEAF_BYTES = 12
 #: Memos begin anew at this size; they only save time.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 150_000, 300_000
 #: Ids that one leaf of the decoding tree joins.
 LEAF_IDS = 1 << 16
 

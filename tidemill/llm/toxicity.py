@@ -13,17 +13,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemill.llm.common import encoded_words, sliced, spans_of_words, text_buffer
+from tidemill.llm.common import encoded_words, returned, sliced, spans_of_words, text_buffer
 
 #: Hashed features; a weight vector is at most 12 bytes for each.
 BITS = 22
 #: Labelled rows that are learned from: all, or so many by the least hash of their identifier.
 MOST_ROWS = 12_000
+#: Distinct features of a text that are learned from (about 10,000 words have so many).
+MOST_FEATURES = 1 << 16
 #: Rate, and smoothing and penalties of the proximal step; passes over the rows.
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 20.0, 0.1, 6
 SEED = 17
-MEMO_WORDS = 300_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: ASCII punctuation at a word's ends doesn't make another word.
@@ -37,7 +39,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 #: Lengths, in characters, of the stems that stand beside their words.
 STEMS = (4, 5, 6, 7)
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,58 +93,70 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights that aren't zero, learned from rows (key, text, label) with keys to order them by.
 
     At most MOST_ROWS rows are learned from, in the order of their keys, by one task; both classes
-    count alike. Rows without a label are left out. With no rows, or one class alone, only a bias is learned.
+    count alike. Texts become their distinct features (at most 2^BITS, by hash the least MOST_FEATURES of a text)
+    where they are, so that this task's memory is bounded too. Rows without a label are left out. With no
+    rows, or one class alone, only a bias is learned.
     """
-    rows = labelled.where(F.col("label").isNotNull()).orderBy("key").limit(MOST_ROWS)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple[np.ndarray, int]] = []
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=SLICE):
             found, text = features(*text_buffer(batch.column("text")))
             order = np.argsort(text, kind="stable")
             edges = np.searchsorted(text[order], np.arange(batch.num_rows + 1))
-            for i, label in enumerate(batch.column("label").to_pylist()):
-                own = np.unique(found[order[edges[i] : edges[i + 1]]])
-                seen.append((np.append(own, BIAS).astype(np.int32), int(label)))
-        ones = sum(label for _, label in seen)
-        weight = {1: len(seen) / (2 * ones), 0: len(seen) / (2 * (len(seen) - ones))} if 0 < ones < len(seen) else {0: 1.0, 1: 1.0}
-        model = FTRL(BIAS + 1)
-        for epoch in range(EPOCHS):
-            for i in np.random.default_rng(SEED + epoch).permutation(len(seen)).tolist():
-                model.learn(seen[i][0], seen[i][1], weight[seen[i][1]])
-        w = model.weights(np.arange(BIAS + 1))
+            own = [np.unique(found[order[a:b]])[:MOST_FEATURES].astype("<i4").tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label").cast(pa.int32()), pa.array(own, pa.binary())], names=["key", "label", "own"])
+
+    rows = labelled.where(F.col("label").isNotNull()).select("key", "text", "label").mapInArrow(featured, "key long, label int, own binary")
+    rows = rows.orderBy("key", "label", "own").limit(MOST_ROWS)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [(np.append(np.frombuffer(own, "<i4"), np.int32(BIAS)), label) for batch in batches for own, label in zip(batch.column("own").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+        w = learned(seen)
+        del seen
         at = np.flatnonzero(w)
+        returned()
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([w[at].astype("<f8").tobytes()])], names=["at", "w"])
 
-    made = rows.select("text", "label").coalesce(1).mapInArrow(learn, "at binary, w binary").collect()
+    made = rows.select("label", "own").coalesce(1).mapInArrow(learn, "at binary, w binary").collect()
     if not made:
         return np.zeros(0, np.int32), np.zeros(0)
     return np.frombuffer(made[0]["at"], "<i4"), np.frombuffer(made[0]["w"], "<f8")
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with a column of scores (0 to 1, higher: label 1 likelier); a null or empty text has the bias alone.
+def learned(seen: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The weights of all coordinates after EPOCHS passes over examples (distinct coordinates, label), each in an order of its own."""
+    ones = sum(label for _, label in seen)
+    weight = {1: len(seen) / (2 * ones), 0: len(seen) / (2 * (len(seen) - ones))} if 0 < ones < len(seen) else {0: 1.0, 1: 1.0}
+    model = FTRL(BIAS + 1)
+    for epoch in range(EPOCHS):
+        for i in np.random.default_rng(SEED + epoch).permutation(len(seen)).tolist():
+            model.learn(seen[i][0], seen[i][1], weight[seen[i][1]])
+    out = np.zeros(BIAS + 1)
+    seen_at = np.flatnonzero(model.n)
+    out[seen_at] = model.weights(seen_at)
+    return out
 
-    The model is sparse and bounded: it is sent with the tasks. Every other column passes through.
-    """
-    if into in docs.columns:
-        raise ValueError(f"{into} is a column already")
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """row (a struct of the columns in `keep`) and score (0 to 1, higher: label 1 likelier) of each row; a null or empty text has the bias alone.
+
+    The model is sparse and bounded: it is sent with the tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shared.value
         weight = np.zeros(BIAS + 1)
         weight[at] = w
-        for batch in sliced(batches, text_col, SLICE):
-            found, text = features(*text_buffer(batch.column(text_col)))
+        for batch in sliced(batches, most=SLICE):
+            found, text = features(*text_buffer(batch.column("text")))
             some = weight[found] != 0
             pair = np.unique(text[some] * (BIAS + 1) + found[some])
             total = weight[BIAS] + np.bincount(pair // (BIAS + 1), weights=weight[pair % (BIAS + 1)], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], names=["row", "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -154,7 +168,8 @@ def model_for(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarra
     by hash before they meet their texts; a document with several labels takes part once for each."""
     names = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"), F.xxhash64(F.lit(SEED), "doc_id").alias("key"))
     chosen = names.orderBy("key", "label").limit(MOST_ROWS)
-    return fit(docs.select("doc_id", "text").join(chosen, "doc_id").select("key", "text", "label"))
+    # (at most MOST_ROWS rows of three numbers)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("key", "text", "label"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,7 +178,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never learned from; a null doc_id is not
     held out and has no label. Scores depend on texts alone: equal texts, equal scores. An empty table gives no rows.
     """
-    rows = scored(docs.select("doc_id", "text"), model_for(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+    rows = scored(docs, model_for(docs, labels)).select("row.doc_id", "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
