@@ -48,10 +48,32 @@ def test_repeats_of_other_lengths(spark):
     rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 300))), "en", "s") for i in range(60)] + [(60, "a" * 500, "en", "s")]
     raw = [t.encode() for _, t, _, _ in rows]
     for length, order in ((31, 2), (41, 3)):
-        found = suffix_dedup.repeats(documents(spark, rows), lambda t, a, b: (str(list(zip(a.tolist(), b.tolist(), strict=True))),), "runs string", length=length, order=order)
+        found = suffix_dedup.repeats(documents(spark, rows), lambda t, a, b: (str(list(zip(a.tolist(), b.tolist(), strict=True))),), "runs string", length=length, order=order).select("row.doc_id", "found.runs")
         same(found, [(row[0], str(runs)) for row, runs in zip(rows, spans(raw, length), strict=True)])
 
 
+def test_texts_built_against_a_fixed_hash_stay(spark):
+    """Differences that vanish for every base modulo 2^64: products of x^a - 1."""
+    poly = [1]
+    for a in (1, 2, 4, 8, 16, 32, 64, 128, 64, 64):
+        poly = [x - y for x, y in zip([0] * a + poly, poly + [0] * a, strict=True)]
+    scale = [16 * x for x in poly] + [0] * (400 - len(poly))
+    assert max(map(abs, scale)) < 128
+    one = bytes(64 + max(0, x) // 2 for x in scale)
+    other = bytes(64 + max(0, -x) // 2 for x in scale)
+    made = [t.decode() for t in (one, other, one[:-1] + b"!", other[:-1] + b"?")]
+    found = suffix_dedup.removed_repeats(documents(spark, [(i, t, "en", "s") for i, t in enumerate(made)])).collect()
+    assert len({*made}) == 4 and [r["n_removed"] for r in found] == [0] * 4
+
+
+def test_a_passage_of_every_row(spark):
+    line = prose(50, 90)
+    rows = [(None if i % 3 == 0 else i // 2, prose(600 + i, 30) + " " + line + (" " + line if i % 50 == 0 else ""), "en", "s") for i in range(300)]
+    raw = [t.encode() for _, t, _, _ in rows]
+    found = suffix_dedup.removed_repeats(documents(spark, rows))
+    same(found.select("doc_id", "n_bytes", "n_removed", "n_spans"), [(i, len(t), sum(b - a for a, b in s), len(s)) for (i, *_), t, s in zip(rows, raw, spans(raw, 400), strict=True)])
+
+
 def test_difference_sets_cover():
     for q in (2, 3, 5, 11):
         v, d = suffix_dedup.difference_set(q)
@@ -137,7 +159,7 @@ def test_components_of_a_chain(spark):
     assert found == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
-def test_top_k_matches_brute_force(spark):
+def test_top_k_matches_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows: list[tuple] = [(i, [float(x) for x in v], None) for i, v in enumerate(rng.normal(0, 0.4, (230, 9)).astype(np.float32))]
     rows += [(300 + i, rows[7][1], "x") for i in range(9)] + [(0, rows[3][1], None)]
@@ -147,13 +169,17 @@ def test_top_k_matches_brute_force(spark):
 
     q = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)) for i, v, _ in rows]
     expected = []
-    for i, a in q:
+    for at, (i, a) in enumerate(q):
         if i % 50 == 0:
-            best = sorted((-int(a @ b), j) for j, b in q if j != i)[:5]
+            best = sorted((-int(a @ b), j) for other, (j, b) in enumerate(q) if other != at)[:5]
             expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     found = topk.top_k(df, F.col("vec_id") % 50 == 0, 5)
-    # a query id that two rows have ranks the candidates of both
-    same(found.where("query_id <> 0"), [e for e in expected if e[0]])
+    assert sum(e[0] == 0 for e in expected) == 10, "two rows have the identifier 0"
+    same(found, expected)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(topk, "CELL_ROWS", 64)
+    monkeypatch.setattr(topk, "CELL_QUERIES", 2)
+    same(topk.top_k(df, F.col("vec_id") % 50 == 0, 5), expected)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
     assert topk.top_k(df.where("vec_id = 50 OR vec_id = 3"), F.col("vec_id") % 50 == 0, 5).count() == 1
 
@@ -194,6 +220,41 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mixed(documents(spark, [])).count() == 0
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    rows = [(i, prose(i, i % 90), "en", None if i % 37 == 0 else f"s{i % 53}") for i in range(700)] + [(10_000, prose(5, 3000), "en", "huge"), (10_001, None, "en", "empty")]
+    few = [tuple(r) for r in mixing.mixed(documents(spark, rows)).collect()]
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    rounded = lambda rs: sorted(((i, a, b, round(t, 6), *rest) for i, a, b, t, *rest in rs), key=key)
+    assert rounded([tuple(r) for r in mixing.mixed(documents(spark, rows)).collect()]) == rounded(few)
+
+
+def test_learning_matches_the_plain_recursion():
+    """FTRL-proximal coordinate by coordinate, in plain numbers."""
+    rng = random.Random(3)
+    seen = [(sorted(rng.sample(range(30), 6)), int(rng.random() < 0.4)) for _ in range(200)]
+    alpha, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    ones = sum(y for _, y in seen)
+    share = {1: len(seen) / (2 * ones), 0: len(seen) / (2 * (len(seen) - ones))}
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(toxicity.SEED + epoch).permutation(len(seen)).tolist():
+            x, y = [*seen[k][0], toxicity.BIAS], seen[k][1]
+            w = {i: weight(i) for i in x}
+            g = share[y] * (1 / (1 + math.exp(-sum(w.values()))) - y)
+            for i in x:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    found = toxicity.learned([(np.array([*x, toxicity.BIAS], np.int32), y) for x, y in seen])
+    assert np.count_nonzero(found) == sum(weight(i) != 0 for i in list(z)) > 0
+    assert all(math.isclose(found[i], weight(i), rel_tol=1e-9, abs_tol=1e-12) for i in list(z))
+
+
 def labelled(n: int, seed: int = 0) -> tuple[list, list]:
     rows, labels = [], []
     for i in range(n):
@@ -283,7 +344,9 @@ def corpus(spark, tmp_path_factory):
     rows, labels = labelled(200, seed=5000)
     rows = [(i, t, lang, f"s{i % 4}") for i, t, lang, _ in rows] + [(10_000 + i, t, lang, s) for i, (_, t, lang, s) in enumerate(texts())]
     folder = str(tmp_path_factory.mktemp("corpus"))
-    spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    odd = ["root", "_own", "_key", "_score", "component_id", "own", "size", "row", "found", "group", "k1", "score", "copies", "copy", "range", "_text", "id", "key", "n"]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in odd)
+    spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), *range(len(odd))) for i, t, lang, s in rows], ddl).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder, rows, labels
 
@@ -307,8 +370,8 @@ def test_pipeline_stages_take_effect(spark, corpus):
     fps = {fingerprint(r["text"]) for r in before}
     assert len(after) == len(set(reachable(list(fps), 2).values()))
     before, after = seen["suffix_array_dedup"]
-    runs = spans([(r["text"] or "").encode() for r in before], 400)
-    assert any(runs) and not any(spans([r["text"].encode() for r in after], 400))
+    runs = spans([(r["text"] or "").encode() for r in before], corpus_pipeline.PASSAGE)
+    assert any(runs) and not any(spans([r["text"].encode() for r in after], corpus_pipeline.PASSAGE))
     whole = {r["doc_id"]: r["text"] or "" for r, s in zip(before, runs, strict=True) if not s}
     assert all(r["text"] == whole[r["doc_id"]] for r in after if r["doc_id"] in whole) and whole.keys() <= {r["doc_id"] for r in after}
     before, after = seen["source_mix"]

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -43,6 +44,8 @@ BITS_PER_KEY, PROBES = 10, 7
 PLAIN, ZSTD = 0, 1
 #: What one shard holds of a large input, in MB of the input's estimated size; a small input makes a shard for each shuffle partition.
 SHARD_MB = 64
+#: Bytes of text that are encoded together.
+ENCODED_BYTES = 2 << 20
 #: Words that a worker remembers (twice as many at most); they only save time.
 MEMO_WORDS = 400_000
 #: Bytes that can be white space, alone or in a longer character.
@@ -298,71 +301,48 @@ def library_coder(path: str) -> LibraryCoder:
 # the operators
 
 
-def shard_bounds(docs: DataFrame, id_col: str, shards: int) -> list[int]:
-    """Identifiers that divide the rows into about equal ranges; at most shards - 1 of them."""
-    if shards < 2:
-        return []
-    at = [i / shards for i in range(1, shards)]
-    found = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, at)), 10 * shards).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs as shards under folder and returns the manifest, ordered by shard: shard, file, n_rows, n_ids, n_bytes.
 
-    Rows go in ascending order of the identifier (a 64-bit integer; null first, equal
-    ones by their ids). Null and empty texts are rows with the end id alone. An empty
-    table makes no shard. A task that runs twice writes another file; only the
-    file in the manifest counts. One shuffle, of the ids.
+    Rows go in ascending order of the identifier (a 64-bit integer; null first), equal
+    ones by a hash of their text, so that an identifier with very many rows has several shards. Null and empty texts are rows with the end id
+    alone. An empty table makes no shard. A task that runs twice writes another file; only the
+    file in the manifest counts. One shuffle, of the texts by ranges. Memory: a slice of texts and a block of a shard.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    bounds = shard_bounds(rows, "doc_id", pieces_for(docs, SHARD_MB, least=int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, edges = library_coder(path), np.array(bounds, np.int64)
-        for batch in sliced(batches):
-            ids = [np.append(x, np.uint32(end_id)) for x in by.texts(batch.column("text"))]
-            small = all(int(x.max()) <= 0xFFFF for x in ids)
-            packed = [(b"\x02" + x.astype("<u2").tobytes()) if small else (b"\x04" + x.astype("<u4").tobytes()) for x in ids]
-            doc_id = batch.column("doc_id")
-            shard = np.searchsorted(edges, np.asarray(doc_id.fill_null(-(1 << 63)), dtype=np.int64), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(shard), doc_id, pa.array(packed, pa.binary())], names=["shard", "doc_id", "ids"])
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    shards = pieces_for(docs, SHARD_MB, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = library_coder(path)
         store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        shard = writer = sink = name = None
-        last, number, done = None, 0, []
-
-        def close() -> None:
-            made = writer.close()
-            sink.close()
-            done.append({"shard": shard, "file": name} | made)
-
+        shard = TaskContext.get().partitionId()
+        name, writer, sink, last, number = f"{shard:08d}-{uuid.uuid4().hex}.sst", None, None, None, 0
         for batch in batches:
-            for s, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
-                if s != shard:
-                    if writer:
-                        close()
-                    shard, name, last = s, f"{s:08d}-{uuid.uuid4().hex}.sst", None
-                    sink = store.open_output_stream(f"{base}/{name}")
-                    writer = Writer(sink)
-                    number = 0
-                number = number + 1 if (doc_id,) == last else 0
-                last = (doc_id,)
-                writer.add(key_of(doc_id, number), Reader.ids(packed))
+            for part in sliced([batch], most=ENCODED_BYTES):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), by.texts(part.column("text")), strict=True):
+                    if writer is None:
+                        store.create_dir(base, recursive=True)
+                        sink = store.open_output_stream(f"{base}/{name}")
+                        writer = Writer(sink)
+                    number = number + 1 if (doc_id,) == last else 0
+                    last = (doc_id,)
+                    writer.add(key_of(doc_id, number), np.append(ids, np.uint32(end_id)).astype(np.uint32))
+        done = []
         if writer:
-            close()
+            done.append({"shard": shard, "file": name} | writer.close())
+            sink.close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    by_shard = rows.mapInArrow(encode, "shard long, doc_id long, ids binary").repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return written(by_shard.mapInArrow(write, "shard long, file string, n_rows long, n_ids long, n_bytes long"), f"{folder}/manifest")
+    order = ["doc_id", "h", "place"]
+    by_range = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return written(by_range.mapInArrow(write, "shard long, file string, n_rows long, n_ids long, n_bytes long"), f"{folder}/manifest")
 
 
 def read_shards(spark: SparkSession, folder: str, each: Callable[[np.ndarray], tuple], fields: str) -> DataFrame:
     """doc_id, start (ids of all rows before it) and what `each` makes of the ids (its DDL: fields), read from the shards."""
     manifest = spark.read.parquet(f"{folder}/manifest")
+    # (a row for each shard)
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     places = manifest.select("shard", "file", F.coalesce(before, F.lit(0)).alias("start"))
     schema = f"doc_id long, start long, {fields}"

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import work_dir, written
 
 #: Rows of one block (bitmaps of an eighth as many bytes), and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 15, 256
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 15, 1 << 12
+#: Rows and queries of one cell, and rows below which no more cells are made.
+CELL_ROWS, CELL_QUERIES, LEAST_ROWS = 1 << 17, 1 << 14, 1 << 10
 
 
 def quantised(vectors: np.ndarray, factor: float) -> np.ndarray:
@@ -105,106 +107,123 @@ def best(slices: list[np.ndarray], live: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits((sure | open_).view(np.uint8), bitorder="little"))
 
 
+def _packed(rows: DataFrame, most: int, factor: float) -> DataFrame:
+    """dim, ids, places, values: the rows (id, place, v) in blocks of at most `most`, of one dimension each."""
+    schema = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("places", pa.binary()), ("values", pa.binary())])
+
+    def block(dim: int, parts: list) -> pa.RecordBatch:
+        ids, places, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_pylist([{"dim": dim, "ids": ids.tobytes(), "places": places.tobytes(), "values": packed_values(quantised(values, factor))}], schema=schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            ids, places, lists = np.asarray(batch.column("id"), np.int64), np.asarray(batch.column("place"), np.int64), batch.column("v")
+            length = np.asarray(lists.value_lengths(), np.int64)
+            flat = np.asarray(lists.flatten(), np.float64)
+            start = np.cumsum(length) - length
+            for dim in np.unique(length).tolist():
+                at = np.flatnonzero(length == dim)
+                while len(at):
+                    kept = held.setdefault(dim, [])
+                    room = most - sum(len(p[0]) for p in kept)
+                    now, at = at[:room], at[room:]
+                    kept.append((ids[now], places[now], flat[start[now][:, None] + np.arange(dim)]))
+                    if len(now) == room:
+                        yield block(dim, held.pop(dim))
+        for dim, parts in held.items():
+            yield block(dim, parts)
+
+    return rows.mapInArrow(pack, "dim int, ids binary, places binary, values binary")
+
+
+class Block:
+    """Rows with their bit slices."""
+
+    def __init__(self, ids: bytes, places: bytes, values: bytes, dim: int):
+        self.ids, self.places, self.dim = np.frombuffer(ids, np.int64), np.frombuffer(places, np.int64), dim
+        rows = unpacked(values, dim)
+        self.low = int(rows.min())
+        self.index = slices_of(rows - self.low, max(1, int(rows.max() - self.low).bit_length()))
+        live = np.zeros(self.index.shape[2] * 64, np.uint8)
+        live[: len(self.ids)] = 1
+        self.live = np.packbits(live, bitorder="little").view(np.uint64)
+
+    def best(self, place: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of the k best rows, ties to the smaller id; the row at `place` is no candidate."""
+        able, own = self.live, np.flatnonzero(self.places == place)
+        if len(own):
+            able = able.copy()
+            able[own >> 6] &= ~(np.uint64(1) << (own & 63).astype(np.uint64))
+        slices, shift = score_slices(self.index, query)
+        at = best(slices, able, k)
+        score = np.zeros(len(at), np.int64)
+        for w, bits in enumerate(slices):
+            if bits is not None:
+                score += ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
+        score += shift + self.low * int(query.sum())
+        first = np.lexsort((self.ids[at], -score))[:k]
+        return at[first], score[first]
+
+
 def top_k(vectors: DataFrame, is_query: F.Column, k: int, factor: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best rows (all, if fewer) by the inner product of quantised vectors.
 
     A component x becomes floor(factor * x), x as double. Vectors that are null, empty, or hold
     null or non-finite components take no part, neither as query nor as candidate; vectors of
-    another length than the query's aren't candidates of it. A row is no candidate of a query
-    with its own identifier. Ties go to the smaller identifier, then equal rows are
-    interchangeable. Null identifiers take no part. An empty table gives no rows. Memory: a block
-    of rows with its slices. Every query block meets every row block; only k rows (and ties) of each pair leave it.
+    another length than the query's aren't candidates of it. A row is no candidate of itself; another row with its
+    identifier is, and two queries with one identifier have k rows each. Ties go to the smaller identifier, then equal rows are
+    interchangeable. Null identifiers take no part. An empty table gives no rows.
+
+    The stated queries meet all rows in cells: a number of query blocks with a number of row blocks. Every task has one cell's
+    blocks (CELL_QUERIES and CELL_ROWS at most) and a row block's slices; only k rows for each query leave it.
     """
     spark = vectors.sparkSession
     v = F.col("v")
     sound = vectors.select(vectors[id_col].cast("long").alias("id"), F.transform(vectors[vector_col], lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     sound = sound.where(F.col("id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))))
-    sound = sound.repartition(max(1, -(-vectors.count() // BLOCK_ROWS)))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query", pa.bool_()), ("dim", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
-        held: dict[tuple[bool, int], list] = {}
-
-        def block(key: tuple[bool, int], rows: list) -> pa.RecordBatch:
-            ids = np.concatenate([r[0] for r in rows])
-            values = quantised(np.concatenate([r[1] for r in rows]), factor)
-            return pa.RecordBatch.from_pylist([{"query": key[0], "dim": key[1], "ids": ids.tobytes(), "values": packed_values(values)}], schema=schema)
-
-        for batch in batches:
-            ids, lists, asks = np.asarray(batch.column("id"), np.int64), batch.column("v"), np.asarray(batch.column("q").to_numpy(zero_copy_only=False), bool)
-            length = np.asarray(lists.value_lengths(), np.int64)
-            flat = np.asarray(lists.flatten(), np.float64)
-            start = np.cumsum(length) - length
-            for dim in np.unique(length).tolist():
-                at = np.flatnonzero(length == dim)
-                rows = flat[start[at][:, None] + np.arange(dim)]
-                for query, most in ((False, BLOCK_ROWS), (True, BLOCK_QUERIES)):
-                    pick = asks[at] if query else slice(None)
-                    own, vals = ids[at][pick], rows[pick]
-                    for i in range(0, len(own), most):
-                        kept = held.setdefault((query, dim), [])
-                        kept.append((own[i : i + most], vals[i : i + most]))
-                        if sum(len(r[0]) for r in kept) >= most:
-                            yield block((query, dim), held.pop((query, dim)))
-        for key, rows in held.items():
-            yield block(key, rows)
-
-    packed = written(sound.mapInArrow(pack, "query boolean, dim int, ids binary, values binary").withColumn("block", F.monotonically_increasing_id()), work_dir(spark, "bit-slices"))
-    rows = packed.where("not query").select("block", "dim", "ids", "values")
-    asked = packed.where("query").select(F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.col("dim").alias("q_dim"))
-    # the stated queries, in blocks, against all rows, in blocks
-    places = rows.select(F.col("block").alias("at"), F.col("dim").alias("at_dim"))
-    # (a pair carries its row block once for BLOCK_QUERIES queries)
-    pairs = asked.join(places, F.col("q_dim") == F.col("at_dim")).join(rows, F.col("at") == F.col("block"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index, ids, values, low = None, None, None, None, 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["block"] != last:
-                    last, ids = r["block"], np.frombuffer(r["ids"], np.int64)
-                    values = unpacked(r["values"], r["dim"])
-                    low = int(values.min())
-                    index = slices_of(values - low, max(1, int(values.max() - low).bit_length()))
-                    live = np.zeros(index.shape[2] * 64, np.uint8)
-                    live[: len(ids)] = 1
-                    live = np.packbits(live, bitorder="little").view(np.uint64)
-                    order = np.argsort(ids, kind="stable")
-                    by_id = ids[order]
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                q_values = unpacked(r["q_values"], r["dim"])
-                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q, query in zip(q_ids.tolist(), q_values, strict=True):
-                    own = order[np.searchsorted(by_id, q) : np.searchsorted(by_id, q, "right")]
-                    able = live
-                    if len(own):
-                        able = live.copy()
-                        for i in own.tolist():
-                            able[i >> 6] &= ~np.uint64(1 << (i & 63))
-                    slices, shift = score_slices(index, query)
-                    at = best(slices, able, k)
-                    score = np.zeros(len(at), np.int64)
-                    for w, bits in enumerate(slices):
-                        if bits is not None:
-                            score += ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
-                    score += shift + low * int(query.sum())
-                    first = np.lexsort((ids[at], -score))[:k]
-                    found.append((np.full(len(first), q), ids[at][first], score[first]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
-
-    near = pairs.select("block", "dim", "ids", "values", "q_ids", "q_values").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    sound = written(sound.withColumn("place", F.monotonically_increasing_id()), work_dir(spark, "vectors"))  # a row keeps its place from here on
+    n = sound.agg(F.count("*").alias("rows"), F.count(F.when(F.col("q"), 1)).alias("queries")).first()
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across, down = max(1, -(-n["queries"] // CELL_QUERIES)), max(1, min(parallel, -(-n["rows"] // LEAST_ROWS)), -(-n["rows"] // CELL_ROWS))
+    rows = _packed(sound.repartition(down, "place").select("id", "place", "v"), BLOCK_ROWS, factor)
+    rows = written(rows.withColumn("down", F.spark_partition_id()), work_dir(spark, "bit-slices"))
+    asked = _packed(sound.where("q").repartition(across, "place").select("id", "place", "v"), BLOCK_QUERIES, factor)
+    asked = written(asked.withColumn("across", F.spark_partition_id()), work_dir(spark, "queries"))
+
+    def numbers(upto: int) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(upto - 1)))
+
+    def search(cell: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        wanted = [(dim, np.frombuffer(ids, np.int64), np.frombuffer(places, np.int64), unpacked(values, dim)) for dim, ids, places, values in zip(*(queries.column(c).to_pylist() for c in ("dim", "ids", "places", "values")), strict=True)]
+        for dim, ids, places, values in zip(*(cell.column(c).to_pylist() for c in ("dim", "ids", "places", "values")), strict=True):
+            block = Block(ids, places, values, dim)
+            for q_dim, q_ids, q_places, q_values in wanted:
+                if q_dim != dim:
+                    continue
+                for q, place, query in zip(q_ids.tolist(), q_places.tolist(), q_values, strict=True):
+                    at, score = block.best(place, query, k)
+                    found.append((np.full(len(at), q), np.full(len(at), place), block.ids[at], score))
+        names = ["query_id", "place", "vec_id", "score"]
+        if not found:
+            return pa.table([pa.array([], pa.int64())] * 4, names=names)
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+
+    left, right = rows.withColumn("across", numbers(across)), asked.withColumn("down", numbers(down))
+    near = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(search, "query_id long, place long, vec_id long, score long")
+    order = Window.partitionBy("place").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-e AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS d FROM v),
+e AS (SELECT place, vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS d FROM v),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, sum(a.x * b.x)::BIGINT AS score
-  FROM e a JOIN e b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL)
+  SELECT a.place AS query_place, b.place, a.vec_id AS query_id, b.vec_id AS vec_id, sum(a.x * b.x)::BIGINT AS score
+  FROM e a JOIN e b ON a.d = b.d AND a.place <> b.place WHERE a.vec_id % 50 = 0 GROUP BY ALL)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
+  SELECT *, row_number() OVER (PARTITION BY query_place ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
 """
