@@ -117,3 +117,67 @@ def questions(c: Column) -> Column:
 def hash_fraction(seed: str, key: Column) -> Column:
     """A number in 0..1 from the first 32 bits of sha256(seed:key)."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 8), 16, 10).cast("long") / F.lit(4294967295)
+
+
+def rewritten(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """c with each pattern replaced, in turn."""
+    for pattern, said in rules:
+        c = F.regexp_replace(c, pattern, said)
+    return c
+
+
+def rewritten_sql(c: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, said in rules:
+        c = f"regexp_replace({c}, '{pattern}', '{said}', 'g')"
+    return c
+
+
+def statements(c: Column, asking: str) -> Column:
+    """c with its questions (a question mark, or words that ask) blanked, so that places stay what they are."""
+    parts = F.regexp_extract_all(c, F.lit(r"([^.!?\n]+[.!?]?|[.!?\n])"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"[?]|{asking}"), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "")
+
+
+def visible(c: Column) -> Column:
+    """Without reasoning blocks, and without what follows one that isn't closed."""
+    for tag in REASONING.split("|"):
+        c = F.regexp_replace(c, f"(?is)<{tag}>.*?</{tag}>", "")
+    return F.trim(F.regexp_replace(c, f"(?is)<({REASONING})>.*$", ""))
+
+
+def chat(messages: str, system: str) -> Column:
+    """A system turn, and the users' and assistants' turns of an array of (role, content), with markers escaped."""
+    first = F.array(F.struct(F.lit("system").alias("role"), escaped_roles(F.lit(system)).alias("content")))
+    spoken = F.filter(messages, lambda m: m["role"].isin("user", "assistant"))
+    return F.concat(first, F.transform(spoken, lambda m: F.struct(m["role"].alias("role"), escaped_roles(m["content"]).alias("content"))))
+
+
+def local_url(c: Column) -> Column:
+    parse = lambda part: F.try_parse_url(c, F.lit(part))
+    return F.coalesce(parse("PROTOCOL").isin("http", "https") & parse("HOST").isin("localhost", "127.0.0.1", "[::1]") & parse("USERINFO").isNull(), F.lit(False))
+
+
+def labelled(fields: dict[str, Column]) -> Column:
+    """name: value of the fields that aren't null, on one line."""
+    return F.concat_ws("; ", *[F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()])
+
+
+def facts(fields: dict[str, Column]) -> Column:
+    """An array of (label, value) of the fields that are given."""
+    every = F.array(*[F.struct(F.lit(k).alias("label"), v.alias("value")) for k, v in fields.items()])
+    return F.filter(every, lambda x: x["value"].isNotNull() & (x["value"] != ""))
+
+
+def or_default(items: Column, default: str) -> Column:
+    return F.when(F.size(items) == 0, F.array(F.lit(default))).otherwise(items)
+
+
+def any_of(items: Column) -> Column:
+    """"a, b or c" of an array; empty for none."""
+    n = F.size(items)
+    head = F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n > 1, F.concat(head, F.lit(" or "), F.get(items, n - 1))).otherwise(F.array_join(items, ""))
+
+
+def first_given(planned: Column, others: Column) -> Column:
+    return F.when(F.size(planned) > 0, planned).otherwise(others)

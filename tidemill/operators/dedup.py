@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: MinHash: functions (a x + b) mod a Mersenne prime, of which 32 bits are kept.
@@ -15,9 +16,57 @@ HASHES, BANDS = 64, 16
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order; it must be a total order. Keys are dealt by hash; a window needs no collect."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key in the given order; it must be a total order. The aggregate combines on the map side, so a hot key is one row per task."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns])
+
+
+#: Hexadecimal digits of a hash that name a part of what is digested: 4096 parts.
+LEAF = 3
+
+
+def digests(rows: DataFrame, by: str, hashed: str, line: str) -> DataFrame:
+    """by, digest: SHA-256 over the sorted lines of each group, in two levels: lines of a part (by the leading digits of their hash), then parts.
+
+    No task has more than a part's lines. Lines that repeat count.
+    """
+    parts = rows.groupBy(by, F.substring(hashed, 1, LEAF).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
+    return parts.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit(":"), "d"))), "\n"), 256).alias("digest"))
+
+
+def _run_hashes(words: Column, n: int) -> Column:
+    """A hash of each run of n words. words: a column, not an expression."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def contained(rows: DataFrame, probes: DataFrame, longest: int = 8) -> DataFrame:
+    """id, probe_id: rows (id, text) whose text contains a probe's (probe_id, probe), anywhere, also within words.
+
+    A probe's first and last word can be parts of a text's words; those between are words of it. So a hash of the run of
+    inner words (the first `longest` of them) finds candidates, identifiers alone, and their texts are compared
+    in full. Probes of fewer than three words have no inner word: they are a stated set of queries against all rows.
+    """
+    inner = F.slice(F.col("w"), 2, F.greatest(F.lit(0), F.least(F.lit(longest), F.size("w") - 2)))
+    keyed = probes.where("probe IS NOT NULL").select("probe_id", "probe", F.split("probe", " ").alias("w")).select("probe_id", "probe", F.when(F.size("w") > 2, inner).otherwise(F.array().cast("array<string>")).alias("inner"))
+    sizes = [r[0] for r in keyed.select(F.size("inner")).distinct().collect()]  # `longest` numbers at most
+    found = []
+    words = rows.select("id", F.split("text", " ").alias("w"))
+    for n in sorted(x for x in sizes if x):
+        own = words.select("id", F.explode(F.array_distinct(_run_hashes(F.col("w"), n))).alias("key"))
+        asked = keyed.where(F.size("inner") == n).select("probe_id", F.xxhash64(*[F.get("inner", F.lit(k)) for k in range(n)]).alias("key"))
+        found.append(own.join(asked, "key").select("id", "probe_id").distinct())
+    out = None
+    for pairs in found:
+        exact = pairs.join(probes, "probe_id").join(rows, "id").where(F.contains("text", F.col("probe"))).select("id", "probe_id")
+        out = exact if out is None else out.union(exact)
+    if 0 in sizes:
+        short = keyed.where(F.size("inner") == 0).select("probe_id", "probe")
+        exact = rows.join(short, F.contains("text", F.col("probe"))).select("id", "probe_id")
+        out = exact if out is None else out.union(exact)
+    return out if out is not None else rows.select("id").limit(0).crossJoin(probes.select("probe_id").limit(0))
 
 
 def first_of(df: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -46,27 +95,40 @@ def shingles(words: Column, n: int = 5) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(full)).otherwise(short)
 
 
-def hashes_of(runs: Column) -> Column:
-    return F.transform(runs, lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long"))
-
-
-def signature(hashes: Column, n: int = HASHES) -> Column:
-    """An array of n minima over the 32-bit hashes of the shingles (hashes_of()); null for none.
+def signature(words: Column, n: int = HASHES, run: int = 5) -> Column:
+    """An array of n minima over the 32-bit hashes (of MD5) of the shingles of an array of words: shingles(), each once; null for none.
 
-    In Arrow batches: 64 products for each shingle cost about 20 times as much in expressions.
+    In Arrow batches, a hash function at a time over all shingles of a batch: hashing and 64 products for
+    each shingle cost about 20 times as much in expressions.
     """
-    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*coefficients(n), strict=True))
+    pairs = [(np.uint64(a), np.uint64(b)) for a, b in coefficients(n)]
 
     def least(rows: pd.Series) -> pd.Series:
-        def one(x: np.ndarray) -> np.ndarray | None:
-            if x is None or not len(x):
-                return None
-            parts = [((a * x[i : i + 4096].astype(np.uint64) + b) % np.uint64(PRIME) & np.uint64(KEPT)).min(axis=1) for i in range(0, len(x), 4096)]
-            return np.min(parts, axis=0).astype(np.int64)
-
-        return rows.map(one)
-
-    return F.pandas_udf(least, "array<long>")(hashes)
+        out: list[np.ndarray | None] = []
+        for begin in range(0, len(rows), 256):
+            sets = [_hashes(w, run) for w in rows.iloc[begin : begin + 256]]
+            size = np.array([len(x) for x in sets])
+            some = np.flatnonzero(size)
+            if not len(some):
+                out += [None] * len(sets)
+                continue
+            x = np.concatenate([sets[i] for i in some])
+            edge = np.cumsum(size[some]) - size[some]
+            found = np.stack([np.minimum.reduceat((x * a + b) % np.uint64(PRIME) & np.uint64(KEPT), edge) for a, b in pairs], axis=1).astype(np.int64)
+            number = np.cumsum(size > 0) - 1
+            out += [found[number[i]] if size[i] else None for i in range(len(sets))]
+        return pd.Series(out)
+
+    return F.pandas_udf(least, "array<long>")(words)
+
+
+def _hashes(words: np.ndarray | None, run: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of each distinct run of words."""
+    if words is None or not len(words):
+        return np.zeros(0, np.uint64)
+    w = list(words)
+    runs = {" ".join(w[i : i + run]) for i in range(max(1, len(w) - run + 1))}
+    return np.frombuffer(b"".join(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:4] for s in runs), ">u4").astype(np.uint64)
 
 
 def bands(sig: str = "sig", n: int = BANDS, rows: int = HASHES // BANDS) -> Column:
@@ -79,7 +141,7 @@ def anchored_pairs(signatures: DataFrame, threshold: float) -> DataFrame:
     signatures: doc_id and sig, not null. A bucket of n members gives n - 1 pairs, not n squared; a hot bucket is combined on the map side and joins back to its members.
     """
     spark = signatures.sparkSession
-    path = f"{_shared(spark)}/signatures-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/signatures-{uuid.uuid4().hex}"
     signatures.write.parquet(path)  # read three times below
     signatures = spark.read.parquet(path)
     keyed = signatures.select("doc_id", F.explode_outer(bands()).alias("k")).select("doc_id", "k.band", "k.bucket")
@@ -90,21 +152,28 @@ def anchored_pairs(signatures: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", same.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        own, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not own.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = own.get() if own.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """node, root: the least identifier reachable over pairs (a, b). Labels spread until none changes; each round is written to the shared folder."""
     spark = pairs.sparkSession
-    base = f"{_shared(spark)}/clusters-{uuid.uuid4().hex}"
+    base = f"{shared(spark)}/clusters-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
@@ -121,6 +190,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
         jump = now.select(F.col("node").alias("of"), F.col("root").alias("further"))
         now = kept(now.join(jump, F.col("root") == F.col("of"), "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root")), str(step))
         changed = now.join(labels.withColumnRenamed("root", "before"), "node").where("root <> before").limit(1).count()
+        _drop(spark, f"{base}/{step - 1}")
         labels = now
         if not changed:
             return labels

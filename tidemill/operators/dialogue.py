@@ -72,3 +72,34 @@ def binary_gain(features: DataFrame, supports: DataFrame, yes: float = 0.9, no:
     mass = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     gain = entropy("all") - mass("yes") / mass("all") * entropy("yes") - mass("no") / mass("all") * entropy("no")
     return parts.select("id", "token", F.round(F.greatest(F.lit(0.0), gain), 6).alias("gain"))
+
+
+def slot_scores(features: DataFrame, supports: DataFrame, slots: DataFrame, base: DataFrame, weight: float) -> DataFrame:
+    """id, slot, place, gain, score: what asking about each slot is worth.
+
+    features (id, token), supports (condition, token, weight), slots (slot, token), base (slot, base, place). An answer is a token of the slot that
+    isn't known, or none of them. A condition gives its probability to its own answers in equal parts, or, without one, to all. gain is
+    the expected fall of entropy over conditions as a share of the entropy; score = base + weight * gain. The knowledge is bounded.
+    """
+    ids = features.select("id").distinct()
+    scored = features.join(F.broadcast(supports), "token").groupBy("id", "condition").agg(F.sum("weight").alias("w"))
+    grid = ids.join(F.broadcast(supports.select("condition").distinct())).join(scored, ["id", "condition"], "left").select("id", "condition", (1.0 + F.coalesce("w", F.lit(0.0))).alias("prior"))
+    priors = grid.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("condition", "prior"))).alias("c")).withColumn("all", F.transform("c", lambda x: x["prior"]))
+    priors = priors.withColumn("before", entropy("all")).withColumn("total", F.aggregate("all", F.lit(0.0), lambda s, x: s + x))
+    known = features.groupBy("id").agg(F.collect_set("token").alias("known"))
+    tokens = slots.groupBy("slot").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    having = supports.groupBy("condition").agg(F.collect_set("token").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("condition", "t"))).alias("having"))
+    asked = priors.join(known, "id").join(F.broadcast(tokens)).join(F.broadcast(having)).withColumn("answers", F.array_except("tokens", "known")).where(F.size("answers") > 0)
+    asked = asked.withColumn("answer", F.explode(F.concat("answers", F.array(F.lit(None).cast("string")))))
+    asked = asked.withColumn("n", F.size("answers") + 1)
+
+    def joint(x: Column) -> Column:
+        own = F.array_intersect(F.col("answers"), F.element_at(F.col("having"), x["condition"]))
+        part = F.when(F.size(own) > 0, F.when(F.coalesce(F.array_contains(own, F.col("answer")), F.lit(False)), 1.0 / F.size(own)).otherwise(0.0)).otherwise(1.0 / F.col("n"))
+        return x["prior"] * part
+
+    rows = asked.withColumn("joint", F.transform("c", joint)).withColumn("p", F.aggregate("joint", F.lit(0.0), lambda s, x: s + x) / F.col("total"))
+    after = rows.groupBy("id", "slot").agg(F.sum(F.col("p") * entropy("joint")).alias("after"), F.first("before").alias("before"))
+    gains = after.select("id", "slot", F.when(F.col("before") > 0, F.greatest(F.lit(0.0), F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0).alias("gain"))
+    gain = F.coalesce("gain", F.lit(0.0))
+    return ids.join(F.broadcast(base)).join(gains, ["id", "slot"], "left").select("id", "slot", "place", F.round(gain, 6).alias("gain"), F.round(F.col("base") + weight * gain, 6).alias("score"))

@@ -21,7 +21,8 @@ def bm25(tokens: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     totals = tokens.agg(F.count("*").alias("n_docs"), F.sum(F.size("w")).alias("n_terms"))
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     vocabulary = asked.select("term").distinct()
-    own = postings(tokens).join(vocabulary, "term")
+    words = tokens.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(vocabulary, "term")
+    own = words.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     frequency = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rows = own.join(frequency, "term").crossJoin(F.broadcast(totals))  # one row of totals
@@ -48,8 +49,18 @@ def unit(v: str) -> Column:
 def dense(corpus: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """query_id, rank, id, score by inner product of unit vectors; corpus (id, v) against the stated queries (query_id, q)."""
     left, right = corpus.select("id", unit("v").alias("v")), queries.select("query_id", unit("q").alias("q"))
-    scored = left.join(right, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot("v", "q"), 6).alias("score"))
-    return top(scored, top_k)
+    both = every_pair(left, right, "id").where(F.col("id") != F.col("query_id"))
+    return top(both.select("query_id", "id", F.round(dot("v", "q"), 6).alias("score")), top_k)
+
+
+def every_pair(rows: DataFrame, queries: DataFrame, key: str, rows_mb: int = 64) -> DataFrame:
+    """The stated queries against all rows, in blocks: each block of rows (by hash of key) gets the queries once, by a join on its number. Nothing is broadcast."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(n for n in (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) if n < 1 << 60)
+    blocks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (rows_mb << 20)))
+    left = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    right = queries.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.join(right, F.col("_block") == F.col("_of")).drop("_block", "_of")
 
 
 def fused(ranked: list[DataFrame], top_k: int) -> DataFrame:
@@ -87,3 +98,17 @@ def hash_embedding(words: DataFrame, dim: int) -> DataFrame:
     packed = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.coalesce(F.col("norm"), F.lit(0.0)) == 0, F.when(i == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")))
     return words.select("id").join(packed, "id", "left").select("id", value.alias("v"))
+
+
+def hit_rate(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """n_queries, hit_rate: the share of queries (query_id, source) with a relevant source among the first k of ranked (query_id, rank, source)."""
+    hit = ranked.where(F.col("rank") <= k).select("query_id", "source").distinct().join(relevant, ["query_id", "source"]).select("query_id").distinct().withColumn("hit", F.lit(1.0))
+    queries = relevant.select("query_id").distinct()
+    return queries.join(hit, "query_id", "left").agg(F.count("*").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("hit_rate"))
+
+
+def checked(citations: DataFrame, manifest: DataFrame) -> DataFrame:
+    """citations (cited, said: an address) with a verdict from the manifest (source, address)."""
+    met = citations.join(manifest, F.col("cited") == F.col("source"), "left")
+    verdict = F.when(F.col("source").isNull(), "unknown_source").when(~F.col("address").eqNullSafe(F.col("said")), "other_address").otherwise("correct")
+    return met.withColumn("verdict", verdict)

@@ -16,6 +16,29 @@ def hash_order(seed: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
+def hash_places(rows: DataFrame, by: list[str], hashed: str, tie: str, into: str = "place") -> DataFrame:
+    """rows with their place (from 1) in their group by a hexadecimal hash: offsets of its ranges, and places within a range, so that a large group isn't one task."""
+    ranged = rows.withColumn("_range", F.substring(hashed, 1, 3))
+    sums = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))  # 4096 rows for each group at most
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_of"), before.alias("_offset"))
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    place = F.col("_offset") + F.row_number().over(Window.partitionBy(*by, "_range").orderBy(hashed, tie))
+    return ranged.join(offsets, same).withColumn(into, place).select(*rows.columns, into)
+
+
+def distinct_until(rows: DataFrame, by: str, order: list[str], key: str, hashed: str, tie: str, n: int) -> DataFrame:
+    """The first n rows of each group, in the order of a hash, whose key no row of an earlier group (in the given order) or earlier row has."""
+    rank = F.coalesce(*[F.when(F.col(by) == v, F.lit(i)) for i, v in enumerate(order)])
+    own = rows.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
+    rest = [c for c in rows.columns if c != key]
+    first = own.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_rank", hashed, tie)).alias("_x")).select(*[F.col(c) if c == key else F.col("_x").getField(c).alias(c) for c in rows.columns])
+    w = Window.partitionBy(by).orderBy(hashed, tie)
+    return first.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
 def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
     """n rows of each stratum in the order of a seeded hash; the window keeps n on the map side."""
     w = Window.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), key)
@@ -31,17 +54,14 @@ def weighted_mix(rows: DataFrame, source: str, key: str, weights: dict[str, floa
         raise ValueError("weights must be positive")
     spark = rows.sparkSession
     named = spark.createDataFrame(list(weights.items()), f"{source} string, weight double")
-    own = rows.join(F.broadcast(named), source).withColumn("_h", hash_order(seed, F.col(key))).withColumn("_range", F.substring("_h", 1, 3))
-    ranges = own.groupBy(source, "weight", "_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(source).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sized = ranges.withColumn("_offset", before).withColumn("_size", F.sum("_n").over(Window.partitionBy(source)))
-    # one row for each source
-    smallest = sized.select(source, "weight", "_size").distinct().agg(F.min(F.col("_size") / F.col("weight")).alias("_least"))
-    plan = sized.join(F.broadcast(smallest)).select(F.col(source).alias("_s"), F.col("_range").alias("_r"), "_offset", "_size", F.greatest(F.lit(1), F.rint(F.col("_least") * F.col("weight"))).cast("long").alias("_quota"))
-    placed = own.join(plan, (F.col(source) == F.col("_s")) & (F.col("_range") == F.col("_r")))
-    index = F.col("_offset") + F.row_number().over(Window.partitionBy(source, "_range").orderBy("_h", key)) - 1
-    copies = F.floor(F.col("_quota") / F.col("_size")) + F.when(F.col("_i") < F.col("_quota") % F.col("_size"), 1).otherwise(0)
-    return placed.withColumn("_i", index).withColumn("copies", copies.cast("long")).where("copies > 0").select(*rows.columns, "copies")
+    own = rows.join(F.broadcast(named), source)
+    # one row for each source in `weights`
+    sizes = own.groupBy(source, "weight").agg(F.count("*").alias("_size"))
+    smallest = sizes.agg(F.min(F.col("_size") / F.col("weight")).alias("_least"))
+    plan = sizes.join(F.broadcast(smallest)).select(F.col(source).alias("_s"), "_size", F.greatest(F.lit(1), F.rint(F.col("_least") * F.col("weight"))).cast("long").alias("_quota"))
+    placed = hash_places(own.withColumn("_h", hash_order(seed, F.col(key))), [source], "_h", key, "_i").join(F.broadcast(plan), F.col(source) == F.col("_s"))
+    copies = F.floor(F.col("_quota") / F.col("_size")) + F.when(F.col("_i") <= F.col("_quota") % F.col("_size"), 1).otherwise(0)
+    return placed.withColumn("copies", copies.cast("long")).where("copies > 0").select(*rows.columns, "copies")
 
 
 def padded(ids: Column, multiple: int, pad: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import curation as C
 from tidemill.operators import dedup as D
+from tidemill.plans import dedup
 from tidemill.plans.registry import query
 from tidemill.sources.tables import table
 
@@ -63,9 +64,7 @@ WITH t AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_t
 SELECT conv_id || '#' || k AS item_id, turn, md5(prefix) AS prefix_hash, md5(next_text) AS reference FROM t WHERE role = 'user' AND next_role = 'assistant'""")
 def prefix_items(spark, d):
     """A benchmark item for each user turn that an assistant answers: what came before it, and the answer."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = turns(spark, d).withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w)).withColumn("k", F.count(F.when(F.col("role") == "user", 1)).over(w)).withColumn("prefix", F.array_join(F.collect_list(F.concat("role", F.lit(":"), "text")).over(w), "|"))
-    return rows.where("role = 'user' AND next_role = 'assistant'").select(F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("k").cast("string")).alias("item_id"), "turn", F.md5("prefix").alias("prefix_hash"), F.md5("next_text").alias("reference"))
+    return C.prefixes(turns(spark, d)).select(F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("k").cast("string")).alias("item_id"), "turn", F.md5("prefix").alias("prefix_hash"), F.md5("next_text").alias("reference"))
 
 
 REASONS = f"""
@@ -187,10 +186,15 @@ def split_leakage(spark, d):
     return sets.select(F.explode_outer(pairs).alias("p")).groupBy("p.split_a", "p.split_b").agg(F.count("*").alias("n_shared"))
 
 
-@query("split_manifest", f"WITH {GROUPED} SELECT split, count(*) AS n, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ids_digest FROM gr JOIN sp2 USING (group_id) GROUP BY split")
+@query("split_manifest", f"""WITH {GROUPED}, m AS (SELECT split, conv_id::VARCHAR AS line, sha256(conv_id::VARCHAR) AS h FROM gr JOIN sp2 USING (group_id)),
+p AS (SELECT split, substr(h, 1, {D.LEAF}) AS part, sha256(string_agg(line, chr(10) ORDER BY line)) AS d, count(*) AS k FROM m GROUP BY 1, 2)
+SELECT split, sum(k)::BIGINT AS n, sha256(string_agg(part || ':' || d, chr(10) ORDER BY part)) AS ids_digest FROM p GROUP BY split""")
 def split_manifest(spark, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda x: x.cast("string")), ",")
-    return split_rows(spark, d).select("conv_id", "split").groupBy("split").agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("ids_digest"))
+    """The size of each split, and a digest of its identifiers over digests of their parts."""
+    line = F.col("conv_id").cast("string")
+    rows = split_rows(spark, d).select("split", line.alias("line"), F.sha2(line, 256).alias("h"))
+    sizes = rows.groupBy("split").agg(F.count("*").alias("n"))
+    return sizes.join(D.digests(rows, "split", "h", "line").withColumnRenamed("digest", "ids_digest"), "split")
 
 
 @query("turn_grouping", "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS turn_group FROM conversations WHERE role <> 'system'")
@@ -218,10 +222,56 @@ def question_answer_fallback(spark, d):
     return rows.select("conv_id", F.when(F.col("q").isNotNull() & F.col("a").isNotNull(), "pair").when(F.col("q").isNotNull(), "prompt").otherwise("none").alias("kind"), F.md5(F.coalesce("q", F.lit(""))).alias("question"))
 
 
-@query("near_duplicate_patients")
+SAID = "SELECT cl.conv_id AS doc_id, string_split(lower(string_agg(cl.text, ' ' ORDER BY cl.turn)), ' ') AS w FROM cl JOIN un USING (conv_id) WHERE role = 'user' GROUP BY cl.conv_id"
+#: The clusters of accepted conversations: the signatures' SQL over their users' words.
+CLUSTERS = (ACCEPTED + ", " + dedup.PAIRS.replace(f"w AS (SELECT doc_id, {dedup.TOKENS} AS w FROM documents)", f"w AS ({SAID})")) + """,
+e AS (SELECT a, b FROM sim WHERE similarity >= 0.7 UNION SELECT b, a FROM sim WHERE similarity >= 0.7),
+r(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+cu AS (SELECT node, min(root) AS root FROM r GROUP BY node)"""
+
+
+def patient_clusters(rows):
+    """node, root: accepted conversations (conv_id, clean) by their users' words."""
+    said = F.array_join(F.transform(F.filter("clean", lambda m: m["role"] == "user"), lambda m: m["content"]), " ")
+    words = rows.select(F.col("conv_id").alias("doc_id"), F.split(F.lower(said), " ").alias("w"))
+    return D.clusters(D.anchored_pairs(words.select("doc_id", D.signature(F.col("w")).alias("sig")).where("sig IS NOT NULL"), 0.7))
+
+
+@query("near_duplicate_patients", f"WITH RECURSIVE {CLUSTERS} SELECT node, root FROM cu")
 def near_duplicate_patients(spark, d):
     """Clusters of conversations by their users' words."""
-    said = F.array_join(F.transform(F.filter("clean", lambda m: m["role"] == "user"), lambda m: m["content"]), " ")
-    words = accepted(spark, d).select(F.col("conv_id").alias("doc_id"), F.split(F.lower(said), " ").alias("w")).where(F.size("w") > 0)
-    sig = words.select("doc_id", D.shingles(F.col("w")).alias("r")).select("doc_id", D.hashes_of(F.col("r")).alias("x")).select("doc_id", D.signature(F.col("x")).alias("sig"))
-    return D.clusters(D.anchored_pairs(sig, 0.7))
+    return patient_clusters(accepted(spark, d))
+
+
+CURATED = f"""{CLUSTERS},
+cg AS (SELECT conv_id, substr(sha256('conv:' || coalesce(root, conv_id)), 1, 16) AS group_id FROM un LEFT JOIN cu ON node = conv_id),
+cz AS (SELECT group_id, count(*) AS size, sha256('42:' || group_id) AS h FROM cg GROUP BY group_id),
+cr AS (SELECT group_id, size, coalesce(sum(size) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running, sum(size) OVER () AS total FROM cz),
+cs AS (SELECT group_id, CASE WHEN running < 0.8 * total THEN 'train' WHEN running < (0.8::DOUBLE + 0.1::DOUBLE) * total THEN 'validation' ELSE 'test' END AS split FROM cr)"""
+
+
+def curated(spark, d):
+    """conv_id, group_id, split, level of accepted conversations, end to end: reasons, exact and near duplicates, near duplicates as one group, splits by group."""
+    spark_rows = C.kept(accepted(spark, d).select("conv_id", "clean"), "curated")
+    roots = patient_clusters(spark_rows)
+    group = F.substring(F.sha2(F.concat(F.lit("conv:"), F.coalesce("root", "conv_id").cast("string")), 256), 1, 16)
+    strict = F.when(F.size(C.strict_reasons(RULES)) == 0, "strict").otherwise("standard")
+    rows = spark_rows.select("conv_id", strict.alias("level")).join(roots, F.col("conv_id") == F.col("node"), "left").select("conv_id", "level", group.alias("group_id"))
+    rows = C.kept(rows, "grouped")
+    splits = C.group_split(rows, "group_id").select(F.col("group_id").alias("g"), "split")
+    return rows.join(splits, F.col("group_id") == F.col("g")).select("conv_id", "group_id", "split", "level")
+
+
+@query("curated_splits", f"WITH RECURSIVE {CURATED}, {STRICT} SELECT conv_id, group_id, split, CASE WHEN xr.reasons = '' THEN 'strict' ELSE 'standard' END AS level FROM cg JOIN cs USING (group_id) JOIN xr USING (conv_id)")
+def curated_splits(spark, d):
+    return curated(spark, d)
+
+
+@query("curated_report", f"""WITH RECURSIVE {CURATED}, g AS (SELECT group_id, split, count(*) AS n FROM cg JOIN cs USING (group_id) GROUP BY ALL), kk AS (SELECT group_id, count(*) AS k FROM g GROUP BY group_id)
+SELECT split, sum(n)::BIGINT AS n_rows, count(*) AS n_groups, count(*) FILTER (k > 1) AS n_leaked FROM g JOIN kk USING (group_id) GROUP BY split""")
+def curated_report(spark, d):
+    """Rows and groups of each split, and how many of its groups another split has too (none may)."""
+    rows = C.kept(curated(spark, d), "splits")
+    groups = rows.groupBy("group_id", "split").agg(F.count("*").alias("n"))
+    leaked = groups.groupBy("group_id").agg(F.count("*").alias("k"))
+    return groups.join(leaked, "group_id").groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count(F.when(F.col("k") > 1, 1)).alias("n_leaked"))

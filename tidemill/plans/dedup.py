@@ -56,11 +56,15 @@ def hash_split_holdout(spark, d):
     return docs(spark, d).select("doc_id", F.when(part >= 0.8, "holdout").otherwise("dev").alias("split"))
 
 
-@query("corpus_digest", "SELECT source, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT source, doc_id || '|' || lang || '|' || sha256(text) AS line FROM documents) GROUP BY source")
+@query("corpus_digest", f"""
+WITH l AS (SELECT source, sha256(text) AS h, doc_id || '|' || lang || '|' || sha256(text) AS line FROM documents),
+p AS (SELECT source, substr(h, 1, {D.LEAF}) AS part, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY 1, 2)
+SELECT source, sha256(string_agg(part || ':' || d, chr(10) ORDER BY part)) AS digest FROM p GROUP BY source""")
 def corpus_digest(spark, d):
+    """A digest of each source's lines, over digests of their parts."""
     line = F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "hash")
-    rows = docs(spark, d).select("source", "doc_id", "lang", F.sha2("text", 256).alias("hash")).select("source", line.alias("line"))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    rows = docs(spark, d).select("source", "doc_id", "lang", F.sha2("text", 256).alias("hash"))
+    return D.digests(rows.select("source", "hash", line.alias("line")), "source", "hash", "line")
 
 
 SHINGLES = f"""w AS (SELECT doc_id, {TOKENS} AS w FROM documents),
@@ -86,7 +90,7 @@ sig AS (SELECT doc_id, list(m ORDER BY i) AS sig FROM m GROUP BY doc_id)"""
 
 
 def signatures(spark, d):
-    return runs(spark, d).select("doc_id", D.hashes_of(F.col("runs")).alias("x")).select("doc_id", D.signature(F.col("x")).alias("sig"))
+    return docs(spark, d).select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", D.signature(F.col("w")).alias("sig")).where("sig IS NOT NULL")
 
 
 @query("minhash_signatures", f"WITH {SIGNATURES} SELECT doc_id, md5(array_to_string(sig, ',')) AS digest FROM sig")
@@ -124,26 +128,22 @@ def estimated_similarity(spark, d):
 
 @query("contamination_exact", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination_exact(spark, d):
-    """Candidates share the 8-word run that begins the benchmark text; only they are compared in full."""
-    lead = F.array_join(F.slice("w", 1, 8), " ")
-    words = F.split("text", " ")
-    probes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("probe"), words.alias("w")).select("item_id", "probe", F.size("w").alias("n"), lead.alias("lead"))
-    # a contained text can begin and end within words, so words at its ends are compared by their inner part only
-    inner = probes.select("item_id", "probe", F.element_at(F.split("lead", " "), 2).alias("key"))
-    seen = docs(spark, d).select("doc_id", "text", F.explode(F.array_distinct(words)).alias("key"))
-    long = inner.where("key IS NOT NULL").join(seen, "key").where(F.expr("contains(text, probe)")).select("doc_id", "item_id")
-    short = probes.where("n < 3").join(docs(spark, d), F.expr("contains(text, probe)")).select("doc_id", "item_id")
-    return long.join(probes.where("n >= 3").select("item_id"), "item_id", "left_semi").select("doc_id", "item_id").union(short).distinct()
+    """Documents that contain a benchmark text: see contained()."""
+    probes = table(spark, d, "benchmark").select(F.col("item_id").alias("probe_id"), F.col("text").alias("probe"))
+    return D.contained(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), probes).select(F.col("id").alias("doc_id"), F.col("probe_id").alias("item_id"))
 
 
 @query("contamination_shingle", f"""
 WITH {SHINGLES}, bw AS (SELECT item_id, {TOKENS} AS w FROM benchmark),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM bw WHERE len(w) >= 5)
-SELECT item_id, doc_id, count(*)::INTEGER AS shared FROM bs JOIN sh USING (s) GROUP BY ALL HAVING count(*) >= 5""")
+bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM bw),
+bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT item_id, doc_id, count(*)::INTEGER AS shared FROM bs JOIN sh USING (s) JOIN bn USING (item_id) GROUP BY item_id, doc_id, n HAVING count(*) >= least(5, n)""")
 def contamination_shingle(spark, d):
-    probe = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") >= 5).select("item_id", F.explode_outer(D.shingles(F.col("w"))).alias("s"))
-    own = runs(spark, d).select("doc_id", F.explode_outer("runs").alias("s"))
-    return own.join(probe, "s").groupBy("item_id", "doc_id").agg(F.count("*").cast("int").alias("shared")).where("shared >= 5")
+    """Documents that share five shingles with a benchmark text, or all where it has fewer (a text of fewer than five words is one). Shingles meet as hashes."""
+    words = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    probe = words.select("item_id", D.shingles(F.col("w")).alias("r")).select("item_id", F.size("r").alias("n"), F.explode("r").alias("s")).select("item_id", "n", F.xxhash64("s").alias("h"), "s")
+    own = runs(spark, d).select("doc_id", F.explode("runs").alias("t")).select("doc_id", F.xxhash64("t").alias("h"), "t")
+    return own.join(probe, "h").where("s = t").groupBy("item_id", "doc_id", "n").agg(F.count("*").cast("int").alias("shared")).where("shared >= least(5, n)").select("item_id", "doc_id", "shared")
 
 
 @query("opening_text_blocked", """

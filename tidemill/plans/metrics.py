@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import text as T
 from tidemill.operators import metrics as M
 from tidemill.plans.registry import query
 from tidemill.sources.tables import table
@@ -161,17 +162,83 @@ def means_by_kind(spark, d):
     return base(spark, d).groupBy("lang").agg(F.round(F.avg("quality"), 2).alias("quality"), F.round(F.avg("toxic"), 2).alias("toxic"), F.round(1 - F.avg("quality"), 2).alias("short_of"))
 
 
-@query("bootstrap_mean", f"WITH {BASE} SELECT round(avg(toxic), 9) AS mean, count(DISTINCT source) AS n_clusters FROM b")
-def bootstrap_mean(spark, d):
-    out = M.cluster_bootstrap(base(spark, d), "toxic", "source")
-    return out.select(F.round("mean", 9).alias("mean"), "n_clusters")
+def drawn_sql(resamples: int, seed: int, last: int) -> str:
+    """From v(cluster, x): the mean, and its bounds from whole clusters drawn with replacement."""
+    return f"""c AS (SELECT cluster, sum(x::DOUBLE) AS s, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY cluster),
+p AS (SELECT s, n, row_number() OVER (ORDER BY md5(cluster::VARCHAR), cluster) - 1 AS place, count(*) OVER () AS k FROM c),
+dr AS (SELECT r, ('0x' || substr(md5('{seed}:' || r || ':' || place), 1, 15))::BIGINT % k AS drawn FROM p CROSS JOIN range(1, {resamples + 1}) t(r)),
+ms AS (SELECT list_sort(list(m)) AS ms FROM (SELECT r, sum(s) / sum(n) AS m FROM dr JOIN p ON p.place = dr.drawn GROUP BY r))
+SELECT (SELECT round(sum(s) / sum(n), 9) FROM c) AS mean, round(ms[{int(0.025 * resamples) + 1}], 9) AS low, round(ms[{min(resamples - 1, int(0.975 * resamples) - last) + 1}], 9) AS high, (SELECT sum(n)::BIGINT FROM c) AS n, (SELECT count(*) FROM c) AS n_clusters FROM ms"""
 
 
-@query("cluster_bootstrap_ci")
+@query("cluster_bootstrap_ci", f"WITH {BASE}, v AS (SELECT source AS cluster, toxic AS x FROM b), {drawn_sql(1000, 42, 0)}")
 def cluster_bootstrap_ci(spark, d):
     return M.cluster_bootstrap(base(spark, d), "toxic", "source")
 
 
+@query("paired_difference_ci", f"""WITH {BASE}, v AS (SELECT a.source AS cluster, z.m - a.m AS x FROM (SELECT doc_id, source, n_chars::DOUBLE AS m FROM b WHERE quality = 1) a JOIN (SELECT doc_id, CASE WHEN guess THEN NULL ELSE n_chars * 1.5::DOUBLE END AS m FROM b) z USING (doc_id)),
+{drawn_sql(500, 0, 1)}""")
+def paired_difference_ci(spark, d):
+    """The difference of two runs on the items that both score, with bounds from whole sources drawn."""
+    rows = base(spark, d)
+    a = rows.where("quality = 1").select("doc_id", "source", F.col("n_chars").cast("double").alias("m"))
+    z = rows.select("doc_id", F.when(~F.col("guess"), F.col("n_chars") * 1.5).alias("m"))
+    return M.paired_ci(a, z, "doc_id", "m", "source", resamples=500)
+
+
+@query("reviewer_metrics", f"""WITH {BASE}, r AS (SELECT CASE WHEN toxic = 1 THEN 'Emergency' WHEN quality = 1 THEN 'self_care' WHEN n_chars > 2000 THEN 'gp' ELSE '' END AS gold, CASE WHEN guess THEN 'emergency' ELSE 'self_care' END AS model, CASE WHEN n_chars % 3 = 0 THEN ' Yes' WHEN n_chars % 3 = 1 THEN 'no' ELSE 'n/a' END AS violation FROM b),
+t AS (SELECT upper(gold) AS gold, upper(model) AS model FROM r WHERE upper(gold) IN ('EMERGENCY', 'SELF_CARE', 'GP')), s AS (SELECT lower(trim(violation)) AS v FROM r WHERE lower(trim(violation)) IN ('yes', 'no'))
+SELECT (SELECT count(*) FROM t) AS n_triage, (SELECT round(avg(CASE WHEN gold = model THEN 1.0::DOUBLE ELSE 0 END), 6) FROM t) AS accuracy, (SELECT count(*) FROM t WHERE gold = 'EMERGENCY') AS n_emergencies,
+  (SELECT round(avg(CASE WHEN model = 'EMERGENCY' THEN 1.0::DOUBLE ELSE 0 END), 6) FROM t WHERE gold = 'EMERGENCY') AS recall, (SELECT count(*) FROM s) AS n_safety, (SELECT round(avg(CASE WHEN v = 'yes' THEN 1.0::DOUBLE ELSE 0 END), 6) FROM s) AS violation_rate""")
+def reviewer_metrics(spark, d):
+    """What reviewers' filled-in labels say; blank and unknown labels count nowhere."""
+    rows = base(spark, d)
+    gold = F.when(F.col("toxic") == 1, "Emergency").when(F.col("quality") == 1, "self_care").when(F.col("n_chars") > 2000, "gp").otherwise("")
+    violation = F.when(F.col("n_chars") % 3 == 0, " Yes").when(F.col("n_chars") % 3 == 1, "no").otherwise("n/a")
+    return M.reviewed(rows.select(gold.alias("gold"), F.when(F.col("guess"), "emergency").otherwise("self_care").alias("model"), violation.alias("violation")), ["EMERGENCY", "SELF_CARE", "GP"])
+
+
+@query("window_loss", "SELECT event_type, count(value) AS n_windows, round(avg(value), 6) AS mean_loss FROM events GROUP BY event_type")
+def window_loss(spark, d):
+    """The mean of the losses of a run's windows; a window without one counts nowhere."""
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("value").alias("n_windows"), F.round(F.avg("value"), 6).alias("mean_loss"))
+
+
+@query("ordered_cases", """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM labels WHERE quality = 1), z AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM labels WHERE toxic = 0)
+SELECT count(a.k) AS n_first, count(z.k) AS n_second, min(coalesce(a.k, z.k)) FILTER (a.doc_id IS DISTINCT FROM z.doc_id) AS first_difference, count(*) FILTER (a.doc_id IS DISTINCT FROM z.doc_id) = 0 AS same FROM a FULL JOIN z USING (k)""")
+def ordered_cases(spark, d):
+    """Whether two runs have the same cases in the same order, and the first place where they don't."""
+    rows = table(spark, d, "labels")
+    return M.same_order(rows.where("quality = 1").select("doc_id"), rows.where("toxic = 0").select("doc_id"), "doc_id")
+
+
+@query("log_progress", """WITH e AS (SELECT user_id, row_number() OVER w AS step, epoch(ts) - epoch(min(ts) OVER (PARTITION BY user_id)) AS elapsed, sum(length(event_type)) OVER w AS tokens, count(*) OVER (PARTITION BY user_id) AS steps FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, step, round(CASE WHEN elapsed > 0 THEN tokens / elapsed ELSE 0 END, 6) AS tokens_per_second, round(CASE WHEN elapsed > 0 THEN step * 8 / elapsed ELSE 0 END, 6) AS samples_per_second, CASE WHEN step >= 5 THEN round(elapsed * steps / step, 3) END AS estimated_seconds FROM e""")
+def log_progress(spark, d):
+    """Throughput and estimated time of each step of a log (a user's events stand for a run's)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("user_id")
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    rows = table(spark, d, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"), (seconds - F.min(seconds).over(every)).alias("elapsed"), F.sum(F.length("event_type")).over(w).alias("tokens"), F.count("*").over(every).alias("max_steps"))
+    return M.progress(rows, batch=8, least_steps=5).select("user_id", "step", "tokens_per_second", "samples_per_second", "estimated_seconds")
+
+
+@query("unsupported_rate", """WITH a AS (SELECT doc_id, source, list_transform(regexp_extract_all(text || ' [S' || (doc_id % 4) || '] and [s' || (doc_id % 7) || '].', '\\[([Ss][0-9]+)\\]', 1), lambda v: upper(v)) AS marks FROM documents)
+SELECT source, count(*) AS n, round(avg(CASE WHEN len(list_filter(marks, lambda v: NOT list_contains(['S1', 'S2', 'S3'], v))) > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS unsupported_rate FROM a GROUP BY source""")
+def unsupported_rate(spark, d):
+    """The share of answers with a mark that none of their sources has."""
+    x = F.concat("text", F.lit(" [S"), (F.col("doc_id") % 4).cast("string"), F.lit("] and [s"), (F.col("doc_id") % 7).cast("string"), F.lit("]."))
+    unknown = F.size(F.array_except(T.cited(x), F.array(*map(F.lit, ("S1", "S2", "S3"))))) > 0
+    return table(spark, d, "documents").select("source", unknown.alias("bad")).groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.col("bad").cast("double")), 6).alias("unsupported_rate"))
+
+
+@query("number_cells", "SELECT user_id, CASE WHEN avg(value) FILTER (event_type = 'error') IS NULL THEN '—' ELSE printf('%.3f', round(avg(value) FILTER (event_type = 'error'), 3)) END AS cell FROM events GROUP BY user_id")
+def number_cells(spark, d):
+    """Numbers as table cells: three digits, a dash where there is none."""
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg(F.when(F.col("event_type") == "error", F.col("value"))), 3).alias("v"))
+    return rows.select("user_id", F.when(F.col("v").isNull(), "—").otherwise(F.format_string("%.3f", "v")).alias("cell"))
+
+
 @query("last_wins", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def last_wins(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as T
+from tidemill.operators import curation as C
+from tidemill.operators import index as I
+from tidemill.operators import providers as P
 from tidemill.operators import retrieval as R
 from tidemill.plans.registry import query
-from tidemill.plans.text import TOKENS
+from tidemill.plans.text import SQUEEZE, TOKENS
 from tidemill.sources.tables import table
 
 
@@ -162,7 +165,7 @@ def sample_retrieval(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("words"))
     c = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.lower("text").alias("t"))
     score = 2 * F.size(F.filter("words", lambda w: F.contains(F.col("t"), w)))
-    both = c.crossJoin(q).select("query_id", "id", score.cast("long").alias("score")).where("score > 0")
+    both = R.every_pair(c, q, "id").select("query_id", "id", score.cast("long").alias("score")).where("score > 0")
     return R.top(both, 2).select(F.col("query_id").alias("item_id"), F.col("id").alias("conv_id"), "score")
 
 
@@ -175,7 +178,89 @@ def catalog_search(spark, d):
 @query("mutual_containment", """
 SELECT DISTINCT p_partkey FROM part JOIN (SELECT DISTINCT lower(p_type) AS q FROM part WHERE p_size = 1) l ON contains(lower(p_type), l.q) OR contains(l.q, lower(p_type))""")
 def mutual_containment(spark, d):
-    p = table(spark, d, "part")
-    listed = p.where("p_size = 1").select(F.lower("p_type").alias("q")).distinct()
-    name = F.lower("p_type")
-    return p.join(listed, F.contains(name, F.col("q")) | F.contains(F.col("q"), name), "left_semi").select("p_partkey")
+    p = table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("name"), "p_size")
+    listed = p.where("p_size = 1").select(F.col("name").alias("q")).distinct()
+    names = p.select(F.col("name").alias("of")).distinct()
+    found = R.every_pair(names, listed, "of").where(F.contains("of", F.col("q")) | F.contains("q", F.col("of"))).select("of").distinct()
+    return p.join(found, F.col("name") == F.col("of"), "left_semi").select("p_partkey")
+
+
+@query("provider_embedding", f"""
+WITH t AS (SELECT item_id AS id, unnest({TOKENS}) AS word FROM benchmark),
+s AS (SELECT id, (('0x' || substr(sha256(word), 1, 8))::BIGINT % 16)::INTEGER AS place, sum(CASE WHEN ('0x' || substr(sha256(word), 9, 2))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM t GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(x * x)) AS norm FROM s GROUP BY id)
+SELECT id AS item_id, place, round(x / norm, 9) AS x FROM s JOIN n USING (id) WHERE x <> 0""")
+def provider_embedding(spark, d):
+    """Texts through the place for an embedding model, with the hash embedding as the model."""
+    v = table(spark, d, "benchmark").select("item_id", P.embedded(F.col("text"), P.hashed_words(16), 16).alias("v"))
+    return v.select("item_id", F.posexplode("v").alias("place", "x")).where("x <> 0").withColumn("x", F.round("x", 9))
+
+
+@query("score_rerank", f"""WITH {bm25_sql(20)}
+SELECT query_id AS item_id, rank, id AS doc_id, score FROM bm WHERE rank <= 4""")
+def score_rerank(spark, d):
+    """Candidates by the score they come with, ties to the smaller id: what stands where no model is."""
+    found = R.bm25(tokens(spark, d), asked(spark, d), 20)
+    return P.reranked(found, 4).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+PAIRED = f"""pr AS (SELECT bm.query_id, bm.id, round(len(list_intersect(list_distinct({TOKENS.replace("text", "b.text")}), list_distinct({TOKENS.replace("text", "d.text")}))) / len(list_distinct({TOKENS.replace("text", "b.text")}))::DOUBLE, 6) AS score
+  FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN documents d ON d.doc_id = bm.id),
+rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM pr) WHERE rank <= 3)"""
+
+
+def pair_reranked(spark, d):
+    found = R.bm25(tokens(spark, d), asked(spark, d), 10)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    pairs = found.select("query_id", "id").join(texts, "id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return P.reranked(pairs, 3, P.shared_words)
+
+
+@query("pair_rerank", f"WITH {bm25_sql(10)}, {PAIRED} SELECT query_id AS item_id, rank, id AS doc_id, score FROM rr")
+def pair_rerank(spark, d):
+    """Candidates by a model's score of query and text (here the share of the query's words that the text has)."""
+    return pair_reranked(spark, d).select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+SNIPPET = SQUEEZE.format("d.text")
+
+
+@query("grounded_context", f"""WITH {bm25_sql(10)}, {PAIRED},
+gc AS (SELECT query_id, rank, '[S' || rank || '] ' || d.source || chr(10) || CASE WHEN length({SNIPPET}) <= 280 THEN {SNIPPET} ELSE regexp_replace(substr({SNIPPET}, 1, 279), ' [^ ]*$', '') || '…' END AS block FROM rr JOIN documents d ON d.doc_id = rr.id)
+SELECT query_id AS item_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM gc GROUP BY query_id""")
+def grounded_context(spark, d):
+    """From queries to what a prompt is grounded in: candidates by words, reranked, cited, as numbered blocks."""
+    best = pair_reranked(spark, d).select(F.col("query_id").alias("topic"), "rank", "id")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return I.context(I.cited(best, texts), F.col("source"), F.col("snippet")).select(F.col("topic").alias("item_id"), "context")
+
+
+@query("chunk_retrieval")
+def chunk_retrieval(spark, d):
+    """The chain over chunks: documents become an index, queries a list by vectors and one by words, fused, reranked and cited."""
+    made = I.built(table(spark, d, "documents").select("doc_id", "text"), P.hashed_words(64), 64)
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), F.col("text").alias("query"))
+    chunks = C.kept(made["chunks"], "chunks")
+    vectors = chunks.select("id", P.embedded(F.col("text"), P.hashed_words(64), 64).alias("v"))
+    found = I.retrieved(chunks, vectors, queries, P.hashed_words(64), 64, reranker=P.shared_words)
+    return I.cited(found, chunks.select("id", "doc_id", "section", "text")).select(F.col("topic").alias("item_id"), "citation_id", "doc_id", "section", F.col("id").alias("chunk_id"), "score", "snippet")
+
+
+@query("retrieval_hit_rate", f"""WITH {DENSE},
+h AS (SELECT de.query_id, max(CASE WHEN e.label = q.label THEN 1 ELSE 0 END) AS hit FROM de JOIN n e ON e.vec_id = de.id JOIN n q ON q.vec_id = de.query_id GROUP BY de.query_id)
+SELECT (SELECT count(*) FROM n WHERE vec_id % 100 = 0) AS n_queries, round((SELECT sum(hit) FROM h) / (SELECT count(*) FROM n WHERE vec_id % 100 = 0)::DOUBLE, 6) AS hit_rate""")
+def retrieval_hit_rate(spark, d):
+    """The share of queries with a relevant row among their best."""
+    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("source"))
+    own = label.where("id % 100 = 0").select(F.col("id").alias("query_id"), "source")
+    return R.hit_rate(vectors(spark, d).join(label, "id"), own, 10)
+
+
+@query("citation_sources", """WITH c AS (SELECT p.page_id, 'p' || (p.page_id + p.page_id % 2) AS cited, CASE WHEN p.page_id % 3 = 0 THEN p.url || '#x' ELSE p.url END AS url FROM pages p)
+SELECT c.page_id, CASE WHEN s.page_id IS NULL THEN 'unknown_source' WHEN s.url <> c.url THEN 'other_address' ELSE 'correct' END AS verdict FROM c LEFT JOIN pages s ON 'p' || s.page_id = c.cited""")
+def citation_sources(spark, d):
+    """Citations against the manifest of sources: one that isn't there, one at another address, or correct."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    cited = pages.select("page_id", F.concat(F.lit("p"), (F.col("page_id") + F.col("page_id") % 2).cast("string")).alias("cited"), F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("#x"))).otherwise(F.col("url")).alias("said"))
+    manifest = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source"), F.col("url").alias("address"))
+    return R.checked(cited, manifest).select("page_id", "verdict")

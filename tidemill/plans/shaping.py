@@ -35,8 +35,21 @@ def one_per_source(spark, d):
 
 @query("seeded_shuffle", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('3:' || doc_id), doc_id)::INTEGER AS place FROM documents")
 def seeded_shuffle(spark, d):
-    w = Window.partitionBy("lang").orderBy(S.hash_order("3", F.col("doc_id")), "doc_id")
-    return table(spark, d, "documents").select("doc_id", F.row_number().over(w).alias("place"))
+    rows = table(spark, d, "documents").select("doc_id", "lang", S.hash_order("3", F.col("doc_id")).alias("h"))
+    return S.hash_places(rows, ["lang"], "h", "doc_id").select("doc_id", F.col("place").cast("int").alias("place"))
+
+
+LANGS = ("fr", "en", "de")
+
+
+@query("distinct_until", f"""
+WITH r AS (SELECT doc_id, lang, sha256(text) AS key, sha256('5:' || doc_id) AS h, list_position([{", ".join(f"'{x}'" for x in LANGS)}], lang) AS k FROM documents),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k, h, doc_id) AS j FROM r WHERE k IS NOT NULL AND k > 0) WHERE j = 1)
+SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS i FROM f) WHERE i <= 25""")
+def distinct_until(spark, d):
+    """Twenty-five documents of each language, in turn and shuffled, none with a text that was taken before (the limit is the feature)."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("key"), S.hash_order("5", F.col("doc_id")).alias("h"))
+    return S.distinct_until(rows, "lang", list(LANGS), "key", "h", "doc_id", 25).select("doc_id", "lang")
 
 
 @query("pad_to_multiple", "SELECT item_id, list_concat(ids, list_transform(range(0, (8 - len(ids) % 8) % 8), lambda x: 0)) AS ids FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM benchmark)")
@@ -78,6 +91,13 @@ def chat_windows(spark, d):
     return S.chat_windows(table(spark, d, "conversations"), most=400, overlap=1)
 
 
+@query("window_examples")
+def window_examples(spark, d):
+    """Training examples: a conversation or its windows, with how many ids each has and how many an assistant says; or the reason why it has none."""
+    rows = pack_examples(table(spark, d, "conversations"))
+    return rows.select("conv_id", "window", F.size("ids").alias("n_ids"), F.size(F.filter("labels", lambda x: x != S.IGNORED)).alias("n_own"), "reason")
+
+
 PACK = 1024
 
 

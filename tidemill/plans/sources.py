@@ -15,10 +15,20 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", S.html_text(F.col("html")).alias("p")).select("page_id", "p.title", F.md5("p.text").alias("text_hash"), F.size(F.filter(F.split("p.text", "\n\n"), lambda x: x != "")).alias("n_blocks"))
 
 
-@query("html_titles", r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
+ENTITIES = {"&quot;": '"', "&#39;": "''", "&lt;": "<", "&gt;": ">", "&amp;": "&", "&amp": "&"}
+
+
+def decoded(x: str) -> str:
+    for entity, plain in ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{plain}')"
+    return x
+
+
+@query("html_titles", f"SELECT page_id, trim({decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title FROM pages")
 def html_titles(spark, d):
+    """The titles of all pages, with their entities decoded."""
     raw = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, d, "pages").where(~F.contains(raw, F.lit("&"))).select("page_id", F.trim(raw).alias("title"))
+    return table(spark, d, "pages").select("page_id", F.trim(S.unescaped(raw)).alias("title"))
 
 
 def chunked(spark, d):

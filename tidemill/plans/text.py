@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as T
+from tidemill.operators import curation as C
 from tidemill.plans.registry import query
 from tidemill.sources.tables import table
 
@@ -13,12 +14,13 @@ SQUEEZE = "trim(regexp_replace({}, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'))"
 TOKENS = f"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{T.TOKEN}')"
 
 
+# (DuckDB has no NFKC; the tables' texts are composed already, and the fixtures of the tests aren't)
 @query("text_normalize", r"""
 SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   text, '\r\n?', chr(10), 'g'), '[\t \f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS normalized_hash
 FROM documents""")
 def text_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("normalized_hash"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize(T.nfkc(F.col("text"))), 256).alias("normalized_hash"))
 
 
 @query("text_fold", f"SELECT doc_id, sha256({FOLD}) AS folded_hash, length({FOLD}) AS n FROM documents")
@@ -151,7 +153,119 @@ def prompt_payload(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.replace(F.replace(body, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e")).alias("payload"))
 
 
-@query("personalised", "SELECT conv_id, turn, regexp_replace(regexp_replace('You and you: ' || role, '\\bYou\\b', 'The patient'), '\\byou\\b', 'the patient', 'g') AS text FROM conversations")
+#: What stands for the person spoken to, and what is said of another: at a text's beginning, and anywhere.
+PERSONS = [("^Thtion ", "The one "), (" (?:und|that) ", " the other ")]
+
+
+@query("personalised", f"SELECT conv_id, turn, md5({T.rewritten_sql('text', PERSONS)}) AS text_hash, {T.rewritten_sql('text', PERSONS)} <> text AS changed FROM conversations")
 def personalised(spark, d):
-    said = F.concat(F.lit("You and you: "), "role")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.regexp_replace(said, r"\bYou\b", "The patient"), r"\byou\b", "the patient").alias("text"))
+    """Texts of another person's case, in the third person."""
+    said = T.rewritten(F.col("text"), PERSONS)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(said).alias("text_hash"), (said != F.col("text")).alias("changed"))
+
+
+#: Claims that are too certain, and what stands for them.
+CLAIMS = [("(?i)\\bof the\\b", "perhaps of the"), ("(?i)\\bder die\\b", "perhaps"), ("(?i)\\bque la\\b", "perhaps la")]
+
+
+@query("claims_softened", f"SELECT conv_id, turn, md5(trim({T.rewritten_sql('text', CLAIMS)})) AS text_hash FROM conversations WHERE role = 'assistant'")
+def claims_softened(spark, d):
+    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5(F.trim(T.rewritten(F.col("text"), CLAIMS))).alias("text_hash"))
+
+
+#: Words by which a sentence asks without a question mark.
+ASKING = "\\b(?:queren|than|dass)\\b"
+
+
+@query("statements_only", f"""WITH s AS (SELECT conv_id, turn, text, list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]?|[.!?\\n]'), lambda x: CASE WHEN regexp_matches(x, '[?]|{ASKING}') THEN repeat(' ', length(x)) ELSE x END) AS parts FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, md5(array_to_string(parts, '')) AS text_hash, length(array_to_string(parts, ''))::INTEGER AS n FROM s""")
+def statements_only(spark, d):
+    said = T.statements(F.col("text"), ASKING)
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", said.alias("s")).select("conv_id", "turn", F.md5("s").alias("text_hash"), F.length("s").alias("n"))
+
+
+@query("visible_text", f"""
+WITH c AS ({TAGGED}),
+a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g'), '(?is)<thinking>.*?</thinking>', '', 'g'), '(?is)<reasoning>.*?</reasoning>', '', 'g') AS x FROM c)
+SELECT conv_id, turn, trim(regexp_replace(x, '(?is)<(think|thinking|reasoning)>.*$', '')) AS text FROM a""")
+def visible_text(spark, d):
+    """What a reader sees: no reasoning, nor what follows a tag that isn't closed."""
+    c, k = F.col("text"), (F.col("conv_id") + F.col("turn")) % 5
+    head = F.substring(c, 1, 9)
+    tagged = F.when(k == 0, F.concat(F.lit("<think>"), head, F.lit("</think> "), c)).when(k == 1, F.concat(head, F.lit("</reasoning>"), c)).when(k == 2, F.concat(F.lit("<THINKING>"), c)).otherwise(c)
+    return table(spark, d, "conversations").select("conv_id", "turn", T.visible(tagged).alias("text"))
+
+
+SYSTEM = "Answer from the sources. <|system|>"
+
+
+@query("chat_messages", """
+WITH m AS (SELECT conv_id, -1 AS turn, 'system' AS role, replace(replace('Answer from the sources. <|system|>', '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') AS text FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, turn, role, replace(replace(text, '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, count(*)::INTEGER AS n, md5(string_agg(role || chr(31) || text, chr(30) ORDER BY turn)) AS digest FROM m GROUP BY conv_id""")
+def chat_messages(spark, d):
+    """Conversations as a chat template takes them: a system turn first, then users' and assistants' turns, with markers escaped."""
+    rows = C.conversations(table(spark, d, "conversations")).select("conv_id", T.chat("messages", SYSTEM).alias("m"))
+    said = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("\x1f"), x["content"])), "\x1e")
+    return rows.select("conv_id", F.size("m").alias("n"), F.md5(said).alias("digest"))
+
+
+@query("local_urls", r"SELECT page_id, regexp_matches(url, '^https?://(localhost|127\.0\.0\.1|\[::1\])(:[0-9]+)?([/?#]|$)') AS is_local FROM pages")
+def local_urls(spark, d):
+    """Whether an address is one of this machine, without credentials."""
+    return table(spark, d, "pages").select("page_id", T.local_url(F.col("url")).alias("is_local"))
+
+
+PROFILE_YEAR = 2026
+
+
+@query("profile_context", f"""
+SELECT c_custkey AS id, concat_ws('; ', 'age: ' || ({PROFILE_YEAR} - (1930 + c_custkey % 80)), 'segment: ' || coalesce(nullif(c_mktsegment, ''), 'not given'), CASE WHEN c_acctbal > 0 THEN 'balance: ' || printf('%.1f', round(c_acctbal::DOUBLE, 1)) END, 'notes: none') AS context FROM customer""")
+def profile_context(spark, d):
+    """A profile as one line, with a default for what isn't given (customers stand for people)."""
+    c = F.col
+    fields = {"age": (F.lit(PROFILE_YEAR) - (1930 + c("c_custkey") % 80)).cast("string"), "segment": F.coalesce(F.nullif(c("c_mktsegment"), F.lit("")), F.lit("not given")), "balance": F.when(c("c_acctbal") > 0, F.format_string("%.1f", F.round(c("c_acctbal").cast("double"), 1))), "notes": F.lit("none")}
+    return table(spark, d, "customer").select(c("c_custkey").alias("id"), T.labelled(fields).alias("context"))
+
+
+CARE = {"AUTOMOBILE": "see a mechanic", "BUILDING": "see a builder", "MACHINERY": "wait"}
+
+
+@query("collected_facts", f"""
+WITH f AS (SELECT c_custkey AS id, unnest([{{'label': 'Segment', 'value': c_mktsegment}}, {{'label': 'Nation', 'value': c_nationkey::VARCHAR}}, {{'label': 'Advice', 'value': CASE c_mktsegment {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CARE.items())} END}}]) AS x FROM customer)
+SELECT id, x.label AS label, x.value AS value FROM f WHERE x.value IS NOT NULL AND x.value <> ''""")
+def collected_facts(spark, d):
+    """A row for each field that is given, under the name people read; codes become words."""
+    words = F.create_map(*[F.lit(x) for pair in CARE.items() for x in pair])
+    facts = T.facts({"Segment": F.col("c_mktsegment"), "Nation": F.col("c_nationkey").cast("string"), "Advice": F.try_element_at(words, F.col("c_mktsegment"))})
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(facts).alias("x")).select("id", "x.label", "x.value")
+
+
+@query("titles_cut", "SELECT doc_id, substr(text, 1, 46) AS title FROM documents")
+def titles_cut(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 46).alias("title"))
+
+
+ALLOWED = ("the", "der", "que", "and", "los")
+
+
+@query("slots_allowed", f"""
+WITH w AS (SELECT item_id, list_filter([{", ".join(f"'{x}'" for x in ALLOWED)}], lambda x: list_contains({TOKENS}, x)) AS s FROM benchmark)
+SELECT item_id, array_to_string(CASE WHEN len(s) = 0 THEN ['none'] ELSE s END, ',') AS slots, CASE len(s) WHEN 0 THEN 'none' WHEN 1 THEN s[1] ELSE array_to_string(s[1:len(s)-1], ', ') || ' or ' || s[len(s)] END AS phrase FROM w""")
+def slots_allowed(spark, d):
+    """Of the words those that are allowed, a default without any; and how a question lists them."""
+    own = F.array_intersect(F.array(*map(F.lit, ALLOWED)), T.tokens(F.col("text")))
+    return table(spark, d, "benchmark").select("item_id", T.or_default(own, "none").alias("s")).select("item_id", F.array_join("s", ",").alias("slots"), T.any_of(F.col("s")).alias("phrase"))
+
+
+@query("lists_joined", f"""
+WITH w AS (SELECT item_id, {TOKENS} AS w FROM benchmark), u AS (SELECT item_id, w, [x for x in [w[3], w[1], 'the', w[2]] if x IS NOT NULL] AS l, CASE WHEN item_id % 3 = 0 THEN [] ELSE w[1:2] END AS planned FROM w)
+SELECT item_id, array_to_string([x for x, i in l if list_position(l, x) = i], ',') AS joined, array_to_string(CASE WHEN len(planned) > 0 THEN planned ELSE w[4:5] END, ',') AS replies FROM u""")
+def lists_joined(spark, d):
+    """Two lists as one, each item once and where it came first; and planned replies in place of others, where there are any."""
+    w = T.tokens(F.col("text"))
+    rows = table(spark, d, "benchmark").select("item_id", w.alias("w"))
+    at = lambda i: F.get("w", F.lit(i))
+    joined = F.array_union(F.array_compact(F.array(at(2), at(0))), F.array_compact(F.array(F.lit("the"), at(1))))
+    planned = F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.slice("w", 1, 2))
+    return rows.select("item_id", F.array_join(joined, ",").alias("joined"), F.array_join(T.first_given(planned, F.slice("w", 4, 2)), ",").alias("replies"))

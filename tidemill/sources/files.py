@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import io
+import json
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -142,6 +145,11 @@ def _chunks(text: str | None, size: int, overlap: int) -> list[tuple[int, str |
     return out
 
 
+def unescaped(c: Column) -> Column:
+    """Text with its HTML entities as characters (no built-in knows them all)."""
+    return F.when(F.contains(c, F.lit("&")), F.pandas_udf(lambda x: x.map(html.unescape, na_action="ignore"), "string")(c)).otherwise(c)
+
+
 def chunks(rows: DataFrame, id_col: str, text_col: str, size: int = 700, overlap: int = 100) -> DataFrame:
     """id, ordinal, section, chunk, chunk_id: texts in chunks of at most `size` characters that overlap and don't cross headings."""
     if size < 100 or not 0 <= overlap < size:
@@ -174,20 +182,81 @@ def sidecars(spark: SparkSession, path: str) -> DataFrame:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """path, text and metadata of the documents of a folder: text by format, fields from sidecars, blanks as null, review_status unreviewed by default."""
     files = folder(spark, path)
-    if files.where("suffix = 'pdf'").limit(1).count():
-        raise NotImplementedError("PDF files need a PDF reader, which is not installed")
+    if not _reads_pdf() and files.where("suffix = 'pdf'").limit(1).count():
+        raise NotImplementedError("PDF files need pypdf, which is not installed")
     raw = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
     plain = files.where(F.col("suffix").isin("txt", "md", "markdown")).select("path", "content", raw.alias("text"), F.lit(None).cast("string").alias("own_title"))
     page = files.where(F.col("suffix").isin("html", "htm")).select("path", "content", html_text(raw).alias("p")).select("path", "content", F.col("p.text").alias("text"), F.nullif("p.title", F.lit("")).alias("own_title"))
-    record = "struct<text:string,content:string,title:string>"
-    body = files.where("suffix = 'json'").select("path", "content", raw.alias("j"))
-    wrapped = F.when(F.trim("j").startswith("["), F.from_json("j", f"array<{record}>")).when(F.get_json_object("j", "$.documents").isNotNull(), F.from_json(F.get_json_object("j", "$.documents"), f"array<{record}>")).otherwise(F.array(F.from_json("j", record)))
-    items = body.select("path", "content", F.explode(wrapped).alias("r")).select("path", "content", F.coalesce("r.text", "r.content").alias("text"), F.col("r.title").alias("own_title"))
-    found = plain.unionByName(page).unionByName(items).withColumn("text", T.normalize(F.col("text"))).where("text <> ''")
+    body = files.where("suffix = 'json'").select("path", F.explode(json_records(raw)).alias("r"))
+    items = body.select("path", F.col("r.record").cast("binary").alias("content"), "r.text", F.lit(None).cast("string").alias("own_title"), "r.own")
+    sheets = files.where("suffix = 'pdf'").select("path", "content", F.explode(pdf_pages(F.col("content"))).alias("p")).select("path", "content", F.col("p.text").alias("text"), F.col("p.title").alias("own_title"), F.col("p.page").alias("own_page"))
+    found = plain.unionByName(page).unionByName(items, allowMissingColumns=True).unionByName(sheets, allowMissingColumns=True).withColumn("text", T.normalize(F.col("text"))).where("text <> ''")
     side = sidecars(spark, path)
-    fields = [F.nullif(F.trim(F.col(f)), F.lit("")).alias(f) for f in FIELDS if f not in ("title", "document_hash", "review_status")]
-    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), "own_title").alias("title")
-    return found.join(side, F.col("path") == F.col("of"), "left").select("path", "text", title, F.sha2("content", 256).alias("document_hash"), *fields, "page", F.coalesce(F.nullif(F.trim("review_status"), F.lit("")), F.lit("unreviewed")).alias("review_status"))
+    # a record's own fields stand before the sidecar's
+    given = lambda f: F.coalesce(F.nullif(F.trim(F.try_element_at("own", F.lit(f))), F.lit("")), F.nullif(F.trim(F.col(f)), F.lit("")))
+    fields = [given(f).alias(f) for f in FIELDS if f not in ("title", "document_hash", "review_status")]
+    title = F.coalesce(given("title"), F.nullif("own_title", F.lit(""))).alias("title")
+    number = F.coalesce("own_page", F.try_element_at("own", F.lit("page")).try_cast("int"), "page").alias("page")
+    return found.join(side, F.col("path") == F.col("of"), "left").select("path", "text", title, F.sha2("content", 256).alias("document_hash"), *fields, number, F.coalesce(given("review_status"), F.lit("unreviewed")).alias("review_status"))
+
+
+def json_records(text: Column) -> Column:
+    """An array of (text, record, own) of a JSON file: a list, the list under `documents`, or one record; a record can be a string.
+
+    text is the record's text, or its content. record is its canonical JSON (keys sorted), which names it. own has its fields, with those of a
+    nested `metadata` behind them. A file that isn't JSON is an error.
+    """
+    kind = "array<struct<text:string,record:string,own:map<string,string>>>"
+
+    def one(raw: str | None) -> list[dict]:
+        body = json.loads(raw) if raw and raw.strip() else []
+        records = body if isinstance(body, list) else body["documents"] if isinstance(body.get("documents"), list) else [body]
+        out = []
+        for r in records:
+            r = {"text": r} if isinstance(r, str) else r
+            nested = r.get("metadata") if isinstance(r.get("metadata"), dict) else {}
+            own = {k: str(v) for k, v in (nested | r).items() if k in (*FIELDS, "page") and v is not None}
+            said = r.get("text") if r.get("text") is not None else r.get("content")
+            out.append({"text": None if said is None else str(said), "record": json.dumps(r, sort_keys=True, ensure_ascii=False, separators=(",", ":")), "own": own})
+        return out
+
+    return F.pandas_udf(lambda rows: rows.map(one), kind)(text)
+
+
+def _reads_pdf() -> bool:
+    try:
+        import pypdf  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def pages_of_pdf(data: bytes) -> list[dict]:
+    """page (from 1), text and title of a PDF file's pages that aren't empty. Needs pypdf, which is optional."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise ImportError("PDF files need pypdf, which is not installed") from e
+    reader = PdfReader(io.BytesIO(data))
+    title = getattr(reader.metadata, "title", None)
+    pages = ((i, p.extract_text() or "") for i, p in enumerate(reader.pages, 1))
+    return [{"page": i, "text": t, "title": title} for i, t in pages if t.strip()]
+
+
+def pdf_pages(content: Column) -> Column:
+    """An array of pages_of_pdf(); without pypdf a PDF file is an error."""
+    return F.pandas_udf(lambda rows: rows.map(pages_of_pdf), "array<struct<page:int,text:string,title:string>>")(content)
+
+
+def log_lines(spark: SparkSession, path: str, step: str) -> DataFrame:
+    """value: the lines of log files, each file decoded in that one of two encodings (UTF-8, UTF-16) in which more of it tells a step."""
+
+    def one(data: bytes) -> list[str]:
+        texts = [data.decode(c, "ignore").lstrip("\ufeff") for c in ("utf-8", "utf-16")]
+        return max(texts, key=lambda t: len(re.findall(rf"{step}[=: ]+[0-9]", t))).splitlines()
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.explode(F.pandas_udf(lambda rows: rows.map(one), "array<string>")("content")).alias("value"))
 
 
 def log_series(lines: DataFrame, step: str, name: str) -> DataFrame:
