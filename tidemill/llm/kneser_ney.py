@@ -156,7 +156,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     group = F.pmod(F.xxhash64(F.lit(21), F.col("doc_id")), F.lit(groups)).cast("int").alias("_group")
     held = (F.pmod(F.xxhash64(F.lit(22), F.col("doc_id")), F.lit(HELD_OUT)) == 0).alias("held_out")
     code = F.coalesce(F.xxhash64(F.col("lang")).bitwiseAND((1 << 23) - 1), F.lit(0)).alias("code")
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).select("doc_id", "text", "lang", code, held, group)
+    # rows without an identifier are never trusted: their texts deal them out
+    own = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(groups)).cast("int")).otherwise(group).alias("_group")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).select("doc_id", "text", "lang", code, held, own)
     shape = to_arrow_schema(rows.schema)
     packs = rows.mapInArrow(packed, "_group int, rows binary")
     known = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().select(F.col("doc_id").alias("known"), group)

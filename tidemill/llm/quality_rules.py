@@ -97,16 +97,16 @@ def features(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *CHAR_BINS, *WORD_BINS)
 
 
-def distance(own: list[Column], reference: list[Column]) -> Column:
-    """Jensen-Shannon distance (square root of the divergence to base 2) of two histograms; 0 where one is empty."""
-    p_all, q_all = reduce(lambda a, b: a + b, own), reduce(lambda a, b: a + b, reference)
+def distance(own: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (square root of the divergence to base 2) of two histograms, as arrays; 0 where one is empty."""
+    mass = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    p_all, q_all = mass(own), mass(reference)
 
-    def part(x: Column, y: Column) -> Column:
-        p, q = x / p_all, y / q_all
+    def part(p: Column, q: Column) -> Column:
         m = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    total = reduce(lambda a, b: a + b, [part(x, y) for x, y in zip(own, reference, strict=True)]) / 2
+    total = mass(F.zip_with(F.transform(own, lambda x: x / p_all), F.transform(reference, lambda y: y / q_all), part)) / 2
     return F.when((p_all > 0) & (q_all > 0), F.sqrt(F.greatest(total, F.lit(0.0)))).otherwise(0.0)
 
 
@@ -125,7 +125,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     reference = sound.groupBy(F.col("lang").alias("r_lang")).agg(F.count("*").alias("r_n"), *shares).where(F.col("r_n") >= LEAST_DOCUMENTS)
     both = rows.join(reference, F.col("lang") == F.col("r_lang"), "left")
     zero = F.lit(0.0)
-    char, word = (F.coalesce(distance([F.col(c) for c in group], [F.coalesce(F.col(f"r_{c}"), zero) for c in group]), zero) for group in (CHAR_BINS, WORD_BINS))
+    # (arrays: spelt out, the distances' code would be too long to be compiled)
+    histogram = lambda group: F.array(*[F.col(c).cast("double") for c in group])
+    usual = lambda group: F.array(*[F.coalesce(F.col(f"r_{c}"), zero) for c in group])
+    char, word = (distance(histogram(group), usual(group)) for group in (CHAR_BINS, WORD_BINS))
     both = both.withColumn("char_distance", F.round(char, 6)).withColumn("word_distance", F.round(word, 6))
     char, word = F.col("char_distance"), F.col("word_distance")
     far = (F.col("n_words") >= GUARD) & ((char > FAR_CHAR) | (word > FAR_WORD) | (char > NEAR_CHAR) & (word > NEAR_WORD))

@@ -45,9 +45,9 @@ PLAIN, ZSTD = 0, 1
 #: What one shard holds of a large input, in MB of the input's estimated size; a small input makes a shard for each shuffle partition.
 SHARD_MB = 64
 #: Bytes of text that are encoded together.
-ENCODED_BYTES = 2 << 20
+ENCODED_BYTES = 8 << 20
 #: Words that a worker remembers (twice as many at most); they only save time.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: Bytes that can be white space, alone or in a longer character.
 ODD = re.compile(rb"[\x00-\x20\x7f]|\xc2[\x85\xa0]|\xe1[\x9a\xa0]|\xe2[\x80\x81]|\xe3\x80\x80|\xef\xbb\xbf")
 

@@ -42,6 +42,8 @@ LENGTH = 400
 ORDER = 11
 #: Bytes of text in a pack; MB of (compressed) input for each range of sampled names, and of names of remaining suffixes.
 PACK_BYTES, RANGE_MB, SUFFIX_RANGE_MB = 4 << 20, 8, 2
+#: How hard packs are compressed.
+LEVEL = 5
 #: Bytes that are hashed at a time; at most 2^24, so that sums of 2^40 each fit in 64 bits.
 PART = 1 << 18
 #: The largest primes below 2^32.
@@ -236,7 +238,7 @@ def covered(starts: np.ndarray, length: int, text: np.ndarray | None = None) ->
 
 def _blob(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import work_dir, written
 
 #: Rows of one block (bitmaps of an eighth as many bytes), and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 15, 1 << 12
-#: Rows and queries of one cell, and rows below which no more cells are made.
-CELL_ROWS, CELL_QUERIES, LEAST_ROWS = 1 << 17, 1 << 14, 1 << 10
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 1 << 12
+#: Rows and queries of one cell at most: cells are as wide as they may be, and there are as many along the queries as keep all tasks busy.
+CELL_ROWS, CELL_QUERIES = 1 << 17, 1 << 12
 
 
 def quantised(vectors: np.ndarray, factor: float) -> np.ndarray:
@@ -185,7 +185,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int, factor: float = 256.0,
     sound = written(sound.withColumn("place", F.monotonically_increasing_id()), work_dir(spark, "vectors"))  # a row keeps its place from here on
     n = sound.agg(F.count("*").alias("rows"), F.count(F.when(F.col("q"), 1)).alias("queries")).first()
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    across, down = max(1, -(-n["queries"] // CELL_QUERIES)), max(1, min(parallel, -(-n["rows"] // LEAST_ROWS)), -(-n["rows"] // CELL_ROWS))
+    down = max(1, -(-n["rows"] // CELL_ROWS))
+    across = max(1, -(-n["queries"] // CELL_QUERIES), min(n["queries"], -(-parallel // down)))
     rows = _packed(sound.repartition(down, "place").select("id", "place", "v"), BLOCK_ROWS, factor)
     rows = written(rows.withColumn("down", F.spark_partition_id()), work_dir(spark, "bit-slices"))
     asked = _packed(sound.where("q").repartition(across, "place").select("id", "place", "v"), BLOCK_QUERIES, factor)
