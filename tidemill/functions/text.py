@@ -181,3 +181,18 @@ def any_of(items: Column) -> Column:
 
 def first_given(planned: Column, others: Column) -> Column:
     return F.when(F.size(planned) > 0, planned).otherwise(others)
+
+
+def payload(messages: Column) -> Column:
+    """An array of (role, content) as one JSON text in which no angle bracket stands, so that no tag can."""
+    body = F.to_json(F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+    return F.replace(F.replace(body, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e"))
+
+
+def duration_bucket(c: Column, units: dict[str, float]) -> Column:
+    """Of the first number with a unit: hours (a unit of less than a day), acute (a week at most), subacute (four weeks at most), chronic; null without one."""
+    pattern = f"([0-9]{{1,3}}) ({'|'.join(units)})( |$)"
+    days = F.create_map(*[F.lit(x) for pair in units.items() for x in (pair[0], float(pair[1]))])
+    each = F.try_element_at(days, F.regexp_extract(c, pattern, 2))
+    total = F.regexp_extract(c, pattern, 1).try_cast("double") * each
+    return F.when(each < 1, "hours").when(total <= 7, "acute").when(total <= 28, "subacute").when(total > 28, "chronic")

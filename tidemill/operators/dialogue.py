@@ -103,3 +103,17 @@ def slot_scores(features: DataFrame, supports: DataFrame, slots: DataFrame, base
     gains = after.select("id", "slot", F.when(F.col("before") > 0, F.greatest(F.lit(0.0), F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0).alias("gain"))
     gain = F.coalesce("gain", F.lit(0.0))
     return ids.join(F.broadcast(base)).join(gains, ["id", "slot"], "left").select("id", "slot", "place", F.round(gain, 6).alias("gain"), F.round(F.col("base") + weight * gain, 6).alias("score"))
+
+
+def schema_problems(reply: str, texts: list[str], enums: dict[str, list[str]], lists: list[str]) -> Column:
+    """An array of the fields of a JSON reply that aren't what they must be: a text, one of some values, a list of texts. A reply that isn't JSON has all."""
+    kinds = ", ".join([*[f"`{k}` variant" for k in [*texts, *lists]], *[f"`{k}` string" for k in enums]])
+    body = F.from_json(F.col(reply), kinds)
+    kind = lambda k: F.schema_of_variant(body.getField(k))
+    bad = {k: ~(kind(k) == "STRING") for k in texts} | {k: ~body.getField(k).isin(v) for k, v in enums.items()} | {k: ~kind(k).startswith("ARRAY") for k in lists}
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), k) for k, c in bad.items()]))
+
+
+def passes(checks: list[str]) -> Column:
+    """Whether no check that applies (isn't null) fails."""
+    return F.forall(F.array(*checks), lambda x: F.coalesce(x, F.lit(True)))

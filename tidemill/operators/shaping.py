@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -188,3 +189,41 @@ def assistant_mask(messages: str) -> tuple[Column, Column]:
     """Words of an array of (role, content) as crc32 ids, and labels that are the ids where an assistant speaks and IGNORED elsewhere."""
     words = F.flatten(F.transform(messages, lambda m: F.transform(F.filter(F.split(m["content"], "[ \n]+"), lambda w: w != ""), lambda w: F.struct(F.crc32(w.cast("binary")).alias("id"), (m["role"] == "assistant").alias("own")))))
     return F.transform(words, lambda w: w["id"]), F.transform(words, lambda w: F.when(w["own"], w["id"]).otherwise(F.lit(IGNORED).cast("long")))
+
+
+Template = Callable[[list[tuple[str, str]]], list[tuple[str, bool]]]
+Tokens = Callable[[str], list[tuple[int, int, int]]]
+
+
+def templated(messages: Column, template: Template, tokenize: Tokens) -> Column:
+    """ids and labels of an array of (role, content) through a chat template and a tokenizer.
+
+    The template gives pieces of text and whether an assistant says them; the tokenizer gives (id, begin, end) over
+    the whole text. A token is a label where its characters meet an assistant's, and IGNORED elsewhere.
+    """
+
+    def one(m) -> dict:
+        pieces = template([(x["role"], x["content"] or "") for x in (m if m is not None else [])])
+        text = "".join(p for p, _ in pieces)
+        own = [False] * len(text)
+        at = 0
+        for piece, says in pieces:
+            own[at : at + len(piece)] = [says] * len(piece)
+            at += len(piece)
+        tokens = tokenize(text)
+        return {"ids": [t for t, _, _ in tokens], "labels": [t if any(own[a:b]) else IGNORED for t, a, b in tokens]}
+
+    def run(rows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(m) for m in rows], columns=["ids", "labels"])
+
+    return F.pandas_udf(run, "ids array<long>, labels array<long>")(messages)
+
+
+def plain_template(messages: list[tuple[str, str]]) -> list[tuple[str, bool]]:
+    """Role and text on lines of their own."""
+    return [x for role, text in messages for x in ((f"{role}\n", False), (text, role == "assistant"), ("\n", False))]
+
+
+def plain_tokens(text: str) -> list[tuple[int, int, int]]:
+    """Words and line ends, by CRC-32."""
+    return [(zlib.crc32(m[0].encode()), m.start(), m.end()) for m in re.finditer(r"[^ \n]+|\n", text)]

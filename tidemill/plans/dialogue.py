@@ -79,15 +79,18 @@ def latest_intent(spark, d):
     return last.select("conv_id", F.when(F.col("t").rlike(r"\b(the|der)\b"), "symptom").otherwise("information").alias("intent"))
 
 
-@query("duration_bucket", """SELECT o_orderkey AS id, CASE WHEN unit = 'hours' THEN 'hours' WHEN n * CASE unit WHEN 'weeks' THEN 7 ELSE 1 END <= 7 THEN 'acute' WHEN n * CASE unit WHEN 'weeks' THEN 7 ELSE 1 END <= 28 THEN 'subacute' ELSE 'chronic' END AS bucket
-FROM (SELECT o_orderkey, regexp_extract(s, '([0-9]+) (hours|days|weeks)', 1)::BIGINT AS n, regexp_extract(s, '([0-9]+) (hours|days|weeks)', 2) AS unit FROM (SELECT o_orderkey, 'for ' || (1 + o_orderkey % 40) || CASE o_orderkey % 3 WHEN 0 THEN ' hours' WHEN 1 THEN ' days' ELSE ' weeks' END AS s FROM orders))""")
+#: Words of the tables that stand for units, and their days.
+UNITS = {"en": 1 / 24, "of": 1, "du": 1, "und": 7, "the": 7, "la": 30}
+UNIT_CASE = " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in UNITS.items())
+
+
+@query("duration_bucket", f"""
+WITH m AS (SELECT doc_id, regexp_extract(text, '([0-9]{{1,3}}) ({'|'.join(UNITS)})( |$)', 1) AS n, regexp_extract(text, '([0-9]{{1,3}}) ({'|'.join(UNITS)})( |$)', 2) AS unit FROM documents),
+x AS (SELECT doc_id, CASE unit {UNIT_CASE} END AS each, try_cast(n AS DOUBLE) AS n FROM m)
+SELECT doc_id, CASE WHEN each < 1 THEN 'hours' WHEN n * each <= 7 THEN 'acute' WHEN n * each <= 28 THEN 'subacute' WHEN n * each > 28 THEN 'chronic' END AS bucket FROM x""")
 def duration_bucket(spark, d):
-    k = F.col("o_orderkey")
-    said = F.concat(F.lit("for "), (1 + k % 40).cast("string"), F.when(k % 3 == 0, " hours").when(k % 3 == 1, " days").otherwise(" weeks"))
-    part = lambda i: F.regexp_extract("said", "([0-9]+) (hours|days|weeks)", i)
-    rows = table(spark, d, "orders").select(k.alias("id"), said.alias("said")).select("id", part(1).cast("long").alias("n"), part(2).alias("unit"))
-    days = F.col("n") * F.when(F.col("unit") == "weeks", 7).otherwise(1)
-    return rows.select("id", F.when(F.col("unit") == "hours", "hours").when(days <= 7, "acute").when(days <= 28, "subacute").otherwise("chronic").alias("bucket"))
+    """How long the first duration that a text tells is; null without one."""
+    return table(spark, d, "documents").select("doc_id", T.duration_bucket(F.col("text"), UNITS).alias("bucket"))
 
 
 #: condition, token, weight; condition, excluded token

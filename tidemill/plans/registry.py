@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidemill.plans import curation, dedup, dialogue, metrics, retrieval, shaping, sources, state, streams, text  # noqa: F401
+    from tidemill.plans import cases, curation, dedup, dialogue, metrics, retrieval, shaping, sources, state, streams, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
