@@ -55,7 +55,7 @@ def contained(rows: DataFrame, probes: DataFrame, longest: int = 8) -> DataFrame
     found = []
     words = rows.select("id", F.split("text", " ").alias("w"))
     for n in sorted(x for x in sizes if x):
-        own = words.select("id", F.explode(F.array_distinct(_run_hashes(F.col("w"), n))).alias("key"))
+        own = words.select("id", F.explode_outer(F.array_distinct(_run_hashes(F.col("w"), n))).alias("key"))
         asked = keyed.where(F.size("inner") == n).select("probe_id", F.xxhash64(*[F.get("inner", F.lit(k)) for k in range(n)]).alias("key"))
         found.append(own.join(asked, "key").select("id", "probe_id").distinct())
     out = None

@@ -21,7 +21,7 @@ def bm25(tokens: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     totals = tokens.agg(F.count("*").alias("n_docs"), F.sum(F.size("w")).alias("n_terms"))
     asked = queries.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     vocabulary = asked.select("term").distinct()
-    words = tokens.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(vocabulary, "term")
+    words = tokens.select("id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).join(vocabulary, "term")
     own = words.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     frequency = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -141,8 +141,8 @@ SELECT item_id, doc_id, count(*)::INTEGER AS shared FROM bs JOIN sh USING (s) JO
 def contamination_shingle(spark, d):
     """Documents that share five shingles with a benchmark text, or all where it has fewer (a text of fewer than five words is one). Shingles meet as hashes."""
     words = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    probe = words.select("item_id", D.shingles(F.col("w")).alias("r")).select("item_id", F.size("r").alias("n"), F.explode("r").alias("s")).select("item_id", "n", F.xxhash64("s").alias("h"), "s")
-    own = runs(spark, d).select("doc_id", F.explode("runs").alias("t")).select("doc_id", F.xxhash64("t").alias("h"), "t")
+    probe = words.select("item_id", D.shingles(F.col("w")).alias("r")).select("item_id", F.size("r").alias("n"), F.explode_outer("r").alias("s")).select("item_id", "n", F.xxhash64("s").alias("h"), "s")
+    own = runs(spark, d).select("doc_id", F.explode_outer("runs").alias("t")).select("doc_id", F.xxhash64("t").alias("h"), "t")
     return own.join(probe, "h").where("s = t").groupBy("item_id", "doc_id", "n").agg(F.count("*").cast("int").alias("shared")).where("shared >= least(5, n)").select("item_id", "doc_id", "shared")
 
 
