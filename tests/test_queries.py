@@ -78,3 +78,14 @@ def test_turns_with_marked_letters_and_repeats(spark, tmp_path):
     assert (1, 0, "bleeding", 2, 1) in same_as_sql(spark, tmp_path, "term_spans")
     assert {r[2] for r in same_as_sql(spark, tmp_path, "answers_interpreted")} == {"timing", "history", "place"}
     assert len(same_as_sql(spark, tmp_path, "claims_softened")) == 4
+
+
+def test_cells_at_halves(spark, tmp_path):
+    from random import Random
+
+    draw = Random(1)
+    rows = [(i, i % 300, "error" if i % 7 else "view", draw.randrange(20000) / 100) for i in range(300 * 9)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "events.parquet"))
+    cells = dict(same_as_sql(spark, tmp_path, "number_cells"))
+    spark.createDataFrame(draw.sample(rows, len(rows)), "event_id long, user_id long, event_type string, value double").repartition(9).write.parquet(str(tmp_path / "mixed" / "events.parquet"))
+    assert dict(registry.queries()["number_cells"](spark, str(tmp_path / "mixed")).collect()) == cells
