@@ -9,6 +9,7 @@ import types
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions import text as T
 from tidemill.operators import curation, dedup, index, metrics, providers, shaping, spans, state
 from tidemill.sources import files, sinks
 from tidemill.streaming import conversation
@@ -134,6 +135,28 @@ def test_index_from_documents_to_citations(spark, tmp_path):
     assert said["c"] == "[S1] 2\nCough is noise."
 
 
+def test_chunks_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["été", "Straße"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 400))) + rng.choice(["", "\r\n\r\n\r\n# Part\n x  y\t", "\n"]) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[3], texts[3] + "  ", "", None])], "doc_id long, text string")
+    # one pass gives what the columns give
+    plain = files.chunks(docs.select("doc_id", T.normalize(T.nfkc(F.col("text"))).alias("text")), "doc_id", "text", 200, 40)
+    made = files.normalized_chunks(docs, "doc_id", "text", 200, 40, at_once=7)
+    assert sorted(made.drop("hash").collect()) == sorted(plain.select("id", "ordinal", "section", "chunk", "chunk_id").collect())
+    # of equal texts the first one's chunks; hashes and one row a chunk are all that is shuffled
+    chunks = index.built(docs, providers.hashed_words(16), 16, 200, 40)["chunks"]
+    assert {r["doc_id"] for r in chunks.select("doc_id").distinct().collect()}.isdisjoint({60, 61, 62, 63})
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    queries = spark.createDataFrame([(str(i), " ".join(rng.choice(words) for _ in range(5))) for i in range(8)], "topic string, query string")
+    chunks = curation.kept(chunks, "chunks")
+    vectors = chunks.select("id", providers.embedded(F.col("text"), providers.hashed_words(16), 16).alias("v"))
+    found = lambda: sorted(map(tuple, index.retrieved(chunks, vectors, queries, providers.hashed_words(16), 16, reranker=providers.shared_words).collect()))
+    here = found()
+    monkeypatch.setattr(index, "FEW", 0)
+    assert len(here) == 32 and here == found()
+
+
 def test_json_records_and_pages(spark, tmp_path, monkeypatch):
     (tmp_path / "a.json").write_text(json.dumps({"documents": ["plain", {"content": "nested", "title": "top", "metadata": {"title": "under", "organization": "org", "page": 3}}, {"text": "  "}]}))
     (tmp_path / "a.json.metadata.json").write_text(json.dumps({"organization": "side", "language": "en"}))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import io
 import json
 import re
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemill.functions import text as T
 
@@ -164,6 +168,38 @@ def chunks(rows: DataFrame, id_col: str, text_col: str, size: int = 700, overlap
     return split.select("id", "c.ordinal", "c.section", F.col("c.text").alias("chunk"), name.alias("chunk_id"))
 
 
+def _normalized(text: str) -> str:
+    """T.normalize(T.nfkc()) in Python."""
+    text = re.sub("\r\n?", "\n", unicodedata.normalize("NFKC", text))
+    text = re.sub(" ?\n ?", "\n", re.sub("[\t \f\x0b]+", " ", text))
+    return re.sub("\n{3,}", "\n\n", text).strip(" \n")
+
+
+def normalized_chunks(rows: DataFrame, id_col: str, text_col: str, size: int = 700, overlap: int = 100, at_once: int = 256) -> DataFrame:
+    """chunks() of normalised texts (null: none), with a hash of each normalised chunk, by one Python worker a task that holds a few texts at a time."""
+    if size < 100 or not 0 <= overlap < size:
+        raise ValueError("size must be 100 or more, and overlap less than it")
+    sha = lambda x: hashlib.sha256(x.encode())
+    names = ("ordinal", "section", "chunk", "chunk_id", "hash")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, at_once):
+                part = batch.slice(lo, at_once)
+                out: list[tuple] = []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    flat = _normalized(text or "")
+                    h = sha(flat).hexdigest()
+                    out += [(row, i, section, x, sha(f"{h}||{section or ''}|{i}|{x}").hexdigest(), sha(_normalized(x)).digest()) for i, section, x in _chunks(flat, size, overlap)]
+                if out:
+                    row, *columns = zip(*out, strict=True)
+                    kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", *names])
+
+    picked = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(cut, StructType([picked.schema["id"], *StructType.fromDDL("ordinal int, section string, chunk string, chunk_id string, hash binary").fields]))
+
+
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """path, suffix, content of the documents of a folder and those below it; notes about the folder and sidecars are no documents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
