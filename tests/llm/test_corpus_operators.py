@@ -418,3 +418,34 @@ def test_the_pipeline_finds_near_copies_of_four_fifths(spark):
     assert near > 30 and len(expected) < len(rows) - 30
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == expected
+
+
+def test_a_group_of_near_copies_beside_many_pairs_is_not_compared_in_all_pairs(spark, monkeypatch):
+    from tidemill.llm import near_copies
+
+    rng, rows = random.Random(21), []
+
+    def changed(words):
+        words = words[:]
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    base = prose(71, 120).split()
+    group = [(i, changed(base)) for i in range(90)]
+    for i in range(150):  # their keys have two members each: few pairs for each row on the whole
+        words = prose(7000 + i, 120).split()
+        rows += [(1000 + 2 * i, " ".join(words)), (1001 + 2 * i, changed(words))]
+    compared = []
+    real = near_copies.written
+
+    def counted(df, path):
+        out = real(df, path)
+        if path.endswith("-pairs"):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in group + rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert left == [0, *range(1000, 1300, 2)]
+    assert sum(compared) < 90 * 89 / 4  # of 4005 pairs in the group alone
