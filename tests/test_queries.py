@@ -89,3 +89,9 @@ def test_cells_at_halves(spark, tmp_path):
     cells = dict(same_as_sql(spark, tmp_path, "number_cells"))
     spark.createDataFrame(draw.sample(rows, len(rows)), "event_id long, user_id long, event_type string, value double").repartition(9).write.parquet(str(tmp_path / "mixed" / "events.parquet"))
     assert dict(registry.queries()["number_cells"](spark, str(tmp_path / "mixed")).collect()) == cells
+
+
+def test_cells_where_events_repeat_or_have_no_identifier(spark, tmp_path):
+    rows = [(None if u == 1 else k % 3, u, "error" if k % 5 else "view", float(k) if u < 3 else -0.0001) for u in range(4) for k in range(20)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert same_as_sql(spark, tmp_path, "number_cells") == [(0, "10.000"), (1, "10.000"), (2, "10.000"), (3, "-0.000")]

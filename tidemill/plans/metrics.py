@@ -236,10 +236,12 @@ def unsupported_rate(spark, d):
 def number_cells(spark, d):
     """Numbers as table cells: three digits, a dash where there is none."""
     # a cell at a half hangs on the last bit of the sum, so values are added by event_id, whatever the partitions are (spilled, not collected);
-    # and the SQL rounds the product, where F.round(mean, 3) would round the decimals
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = table(spark, d, "events").select("user_id", "event_id", F.avg(F.when(F.col("event_type") == "error", F.col("value"))).over(w).alias("mean"))
-    rows = running.groupBy("user_id").agg((F.round(F.max_by("mean", "event_id") * 1000) / 1000).alias("v"))
+    # the mean of the last row has all of them, also where identifiers are null or repeat; and the SQL rounds the product, where F.round(mean, 3)
+    # would round the decimals, and keeps the sign of what rounds to nothing
+    w = Window.partitionBy("user_id").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = table(spark, d, "events").select("user_id", F.count("*").over(w).alias("n"), F.avg(F.when(F.col("event_type") == "error", F.col("value"))).over(w).alias("mean"))
+    x = F.col("x")
+    rows = running.groupBy("user_id").agg((F.max_by("mean", "n") * 1000).alias("x")).select("user_id", (F.when(x < 0, -F.round(-x)).otherwise(F.round(x)) / 1000).alias("v"))
     return rows.select("user_id", F.when(F.col("v").isNull(), "—").otherwise(F.format_string("%.3f", "v")).alias("cell"))
 
 
