@@ -449,3 +449,24 @@ def test_a_group_of_near_copies_beside_many_pairs_is_not_compared_in_all_pairs(s
     left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert left == [0, *range(1000, 1300, 2)]
     assert sum(compared) < 90 * 89 / 4  # of 4005 pairs in the group alone
+
+
+def test_near_copies_of_few_words_whose_fingerprints_are_far_apart(spark):
+    from tidemill.llm.near_copies import FAR, prints, shingle_sets
+
+    words = [f"194777{c}" for c in "abcdefghi"]  # four shingles, and these with a fifth
+    rows = [(1, " ".join(words[:8])), (2, " ".join(words)), (3, prose(5, 30))]
+    raw = [t.encode() for _, t in rows[:2]]
+    fps = prints(*shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])])))
+    assert sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in (x.to_pylist() for x in fps)) > FAR
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
+def test_rows_of_unknown_size_are_counted(spark):
+    from tidemill.llm.common import input_bytes, pieces_for
+
+    rows = [(i, "é" * 1000, None, "s.1") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` string")
+    assert 4_000_000 <= input_bytes(df) < 5_000_000 and pieces_for(df, 1) == 4
+    assert input_bytes(df.where("doc_id < 0")) == 0
