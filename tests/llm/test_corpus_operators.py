@@ -74,6 +74,32 @@ def test_a_passage_of_every_row(spark):
     same(found.select("doc_id", "n_bytes", "n_removed", "n_spans"), [(i, len(t), sum(b - a for a, b in s), len(s)) for (i, *_), t, s in zip(rows, raw, spans(raw, 400), strict=True)])
 
 
+def test_repeats_keep_small_tables_in_few_files(spark, monkeypatch):
+    """For every file in a local folder Hadoop starts processes, and while one starts, its executor's memory is read twice."""
+    files = {}
+
+    def noted(df, path, written=suffix_dedup.written):
+        out = written(df, path)
+        files[path.rsplit("/", 1)[-1]] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", noted)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    passages = [prose(700 + i, 300) for i in range(24)]
+    rows = [(2 * i + k, f"{prose(800 + 2 * i + k, 300)} {k}{p}{'ab'[k]} {prose(900 + 2 * i + k, 300)}", "en", "s") for i, p in enumerate(passages) for k in range(2)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = suffix_dedup.removed_repeats(documents(spark, rows).repartition(16)).select("doc_id", "n_removed")
+        same(found, [(2 * i + k, len(p.encode())) for i, p in enumerate(passages) for k in range(2)])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert files["packs"] == 16 and max(files.pop("flags"), files.pop("sample")) <= 2
+    assert set(files) == {"packs", "twice", "texts"}
+
+
 def test_difference_sets_cover():
     for q in (2, 3, 5, 11):
         v, d = suffix_dedup.difference_set(q)
